@@ -27,6 +27,8 @@ from .textops import ALNUM, chunks, lower, sums_by_row, word_hashes, words
 
 VOCABULARY = 65_534
 CELLS = 1 << 20
+#: Target ids that are broadcast at once; more are served by further scans, so texts are never shuffled.
+BLOCK_IDS = 1_000_000
 #: Weight of the bigram estimate, and the added count of the unigram estimate.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
 
@@ -106,7 +108,8 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = vocabulary(texts, "text", size)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    marked = texts.join(target.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).distinct(), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    ids = target.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    blocks = max(1, -(-ids.count() // BLOCK_IDS))
 
     def count(batches):
         v = shared.value
@@ -125,7 +128,14 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
             u = used[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(total[0, u].astype(np.int64)), pa.array(total[1, u].astype(np.int64))], ["key", "b", "t"])
 
-    got = marked.mapInArrow(count, "key int, b bigint, t bigint").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    found = None
+    for block in range(blocks):
+        # at most about BLOCK_IDS ids; the first scan counts all documents, further ones count the targets of their block
+        mine = F.broadcast(ids.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == block).select("id", F.lit(True).alias("target")))
+        marked = texts.join(mine, "id", "left" if block == 0 else "inner").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+        counted = marked.mapInArrow(count, "key int, b bigint, t bigint").select("key", F.col("b") if block == 0 else F.lit(0).cast("bigint").alias("b"), "t")
+        found = counted if found is None else found.unionByName(counted)
+    got = found.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     got = got.toArrow()  # at most two vocabularies and all cells
     width = len(known) + 2
     total = np.zeros((2, 2 * width + cells), np.float32)
