@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .language import sampled
 from .shared import fresh_path, stored, table
 
 #: Fixed values of the format.
@@ -234,8 +235,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame, key: str, text: str, size: int = DICTIONARY_BYTES, sample: int = DICTIONARY_SAMPLE) -> bytes:
-    """A dictionary trained on at most `sample` payloads, chosen by a hash of the key; empty if they are too few to train on."""
-    rows = pages.where(F.length(text) > 0).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("dictionary"))).limit(sample)
+    """A dictionary trained on the beginnings of about `sample` payloads, chosen by a hash of the key; empty if they are too few to train on."""
+    rows = pages.where(sampled(pages.select(key), key, sample)).where(F.length(text) > 0)
     samples = [r[0].encode() for r in rows.select(F.substring(text, 1, 1 << 16)).collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
