@@ -94,8 +94,10 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     rows, asked = rows.where(F.size("vec") == width["n"]), asked.where(F.size("vec") == width["n"])
     cells = cells or int(np.clip(width["count"] ** 0.5 / 4, *CELLS))
     probes = max(1, round(cells * probed))
-    taken = rows.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).select("vec").toArrow()
-    index = Index(np.asarray(taken["vec"].combine_chunks().flatten()).reshape(-1, width["n"]), cells)
+    chosen = F.lit(True) if width["count"] <= sample else F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(sample / width["count"] * (1 << 20))
+    taken = rows.where(chosen).select("id", "vec").toArrow()
+    order = np.argsort(np.asarray(taken["id"]), kind="stable")
+    index = Index(np.asarray(taken["vec"].combine_chunks().flatten()).reshape(-1, width["n"])[order], cells)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
