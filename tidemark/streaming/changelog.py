@@ -12,7 +12,8 @@ def maintain(engine: Engine, source: str, stream: DataFrame, checkpoint: str, fl
     """Start applying a stream of rows with column __op to a source. A replayed batch is applied once."""
 
     def batch(log: DataFrame, batch_id: int) -> None:
-        engine.apply_log(source, log, (source.lower(), checkpoint, batch_id))
+        # a batch belongs to a session of its own: written down, the engine's session reads it
+        engine.apply_log(source, engine.store.write("log", log), (source.lower(), checkpoint, batch_id))
         if flush:
             engine.flush()
 
