@@ -166,3 +166,14 @@ def test_models(spark):
     named = docs(spark, ["der hund und die katze", "the dog and the cat"] * 20 + ["12 !", None]).selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS lang")
     told = {r["doc_id"]: r["lang_pred"] for r in language.identify(named, language.fit(named.where("text IS NOT NULL"), "doc_id", "text", "lang")).collect()}
     assert told[0] == "de" and told[1] == "en" and told[40] == told[41] == "und"
+
+
+@pytest.mark.parametrize("size", [0, 1, 3, 5, 100])
+def test_vocabulary_takes_the_most_frequent_words(spark, size):
+    counts = {"a": 40, "b": 20, "c": 7, "d": 2, "e": 2, "f": 2, "g": 1}
+    got = lm_score.vocabulary(docs(spark, [" ".join([w] * n) for w, n in counts.items()] + [None, ""]), "text", size)
+    data, offsets = textops.string_bytes(pa.array(list(counts)))
+    h = textops.word_hashes(data, textops.words(data, offsets, textops.ALNUM))
+    assert len(got) <= size and set(h[: min(size, 3)]) <= set(got) <= set(h[:6])
+    if size >= 5:  # ties are split by hash, in slices of which these words share none
+        assert len(got) == min(size, 6)

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, stored, table
 from .textops import ALNUM, chunks, lower, sums_by_row, word_hashes, words
 
 VOCABULARY = 65_534
 CELLS = 1 << 20
+#: Steps to a doubling of a word's count (counts below 90 have steps of their own), and slices of the last step.
+_STEPS, _SLICES = 64, 4096
 #: Target ids that are broadcast at once; more are served by further scans, so texts are never shuffled.
 BLOCK_IDS = 1_000_000
 #: Weight of the bigram estimate, and the added count of the unigram estimate.
@@ -34,7 +36,11 @@ BIGRAM_WEIGHT, ADDED = 0.7, 0.5
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> np.ndarray:
-    """Hashes, sorted, of the most frequent words that occur at least twice."""
+    """Hashes, sorted, of the most frequent words that occur at least twice, `size` at most.
+
+    Whole steps of the logarithm of the counts are taken from the top; of the step that does
+    not fit whole, slices by hash. So no sort and no limit sends rows to the driver in vain.
+    """
 
     def count(batches):
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -59,10 +65,31 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = found.where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
+    counted, path = stored(found.where("n > 1").select("word", F.floor(F.log2("n") * _STEPS).cast("int").alias("step"), F.pmod("word", F.lit(_SLICES)).cast("int").alias("slice")), "words")
+    # at most 64 * _STEPS rows, then at most _SLICES rows; the words at the end are at most `size`
+    by_step = {r["step"]: r["count"] for r in counted.groupBy("step").count().collect()}
+    whole, room = _fitting(sorted(by_step.items(), reverse=True), size)
+    taken = F.col("step").isin(whole)
+    if rest := [s for s in by_step if s not in whole]:
+        edge = max(rest)
+        by_slice = {r["slice"]: r["count"] for r in counted.where(F.col("step") == edge).groupBy("slice").count().collect()}
+        taken = taken | ((F.col("step") == edge) & F.col("slice").isin(_fitting(sorted(by_slice.items()), room)[0]))
+    top = counted.where(taken).select("word").toArrow()
+    discard(docs.sparkSession, path)
     return np.sort(np.asarray(top["word"]).astype(np.int64).view(np.uint64))
 
 
+def _fitting(groups: list[tuple[int, int]], room: int) -> tuple[list[int], int]:
+    """(names of the first groups that fit together, room left); groups are (name, size)."""
+    names = []
+    for name, n in groups:
+        if n > room:
+            break
+        names.append(name)
+        room -= n
+    return names, room
+
+
 def _tokens(known: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """(tokens, the token before each, row offsets): 0 is unknown, len(known) + 1 begins a text."""
     data = lower(data)
