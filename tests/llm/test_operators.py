@@ -177,3 +177,11 @@ def test_vocabulary_takes_the_most_frequent_words(spark, size):
     assert len(got) <= size and set(h[: min(size, 3)]) <= set(got) <= set(h[:6])
     if size >= 5:  # ties are split by hash, in slices of which these words share none
         assert len(got) == min(size, 6)
+
+
+def test_targets_are_marked_alike_by_broadcast_and_by_shuffle(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None), (1, "a")]
+    texts, target = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(1,), (1,), (3,), (9,), (None,)], "id long")
+    want = sorted([("a", True), ("b", True), ("c", False), ("d", False), (None, True), ("a", True)], key=repr)
+    for bound in (10, 0):
+        assert sorted(map(tuple, lm_score._marked(texts, target, bound).collect()), key=repr) == want

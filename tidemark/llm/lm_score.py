@@ -29,8 +29,10 @@ VOCABULARY = 65_534
 CELLS = 1 << 20
 #: Steps to a doubling of a word's count (counts below 90 have steps of their own), and slices of the last step.
 _STEPS, _SLICES = 64, 4096
-#: Target ids that are broadcast at once; more are served by further scans, so texts are never shuffled.
-BLOCK_IDS = 1_000_000
+#: Up to so many distinct target ids are broadcast; more are joined by a shuffle, once however many they are.
+BROADCAST_IDS = 1_000_000
+#: Parts into which the rows of each id are dealt for that shuffle, so that one id with many rows is many tasks.
+SALTS = 32
 #: Weight of the bigram estimate, and the added count of the unigram estimate.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
 
@@ -130,13 +132,25 @@ class Models:
         return np.diff(rows), out
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, cells: int = CELLS) -> Models:
+def _marked(texts: DataFrame, target: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(text, target) of every row of texts(id, text): whether its id is among target's."""
+    ids = target.where("id IS NOT NULL").distinct()
+    if ids.count() <= broadcast_ids:
+        found = texts.join(F.broadcast(ids.withColumn("target", F.lit(True))), "id", "left")
+    else:
+        known = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("target"))
+        # null ids are no targets and have no place in the shuffle
+        dealt = texts.where("id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("text", F.lit("salt")), F.lit(SALTS)).cast("int"))
+        found = dealt.join(known, ["id", "salt"], "left").select("text", "target").unionByName(texts.where("id IS NULL").select("text", F.lit(None).cast("boolean").alias("target")))
+    return found.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, cells: int = CELLS, broadcast_ids: int = BROADCAST_IDS) -> Models:
     """target holds the ids of the target documents."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = vocabulary(texts, "text", size)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    ids = target.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    blocks = max(1, -(-ids.count() // BLOCK_IDS))
+    marked = _marked(texts, target.select(F.col(id_col).alias("id")), broadcast_ids)
 
     def count(batches):
         v = shared.value
@@ -155,13 +169,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
             u = used[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(total[0, u].astype(np.int64)), pa.array(total[1, u].astype(np.int64))], ["key", "b", "t"])
 
-    found = None
-    for block in range(blocks):
-        # at most about BLOCK_IDS ids; the first scan counts all documents, further ones count the targets of their block
-        mine = F.broadcast(ids.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == block).select("id", F.lit(True).alias("target")))
-        marked = texts.join(mine, "id", "left" if block == 0 else "inner").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-        counted = marked.mapInArrow(count, "key int, b bigint, t bigint").select("key", F.col("b") if block == 0 else F.lit(0).cast("bigint").alias("b"), "t")
-        found = counted if found is None else found.unionByName(counted)
+    found = marked.mapInArrow(count, "key int, b bigint, t bigint")
     got = found.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     got = got.toArrow()  # at most two vocabularies and all cells
     width = len(known) + 2
