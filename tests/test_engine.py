@@ -4,6 +4,7 @@ import pytest
 
 from tidemark import observe
 from tidemark.engine import Engine
+from tidemark.operators import state as states
 from tidemark.plans.analyze import ViewError
 
 SCHEMA = "id int, grp string, val int, flag boolean"
@@ -90,3 +91,28 @@ def test_lifecycle_and_errors(spark, engine):
     assert engine.reconcile("s") == "RECONCILED" and engine.refresh_depending_on("t") == "REFRESHED 1 VIEWS"
     assert observe.status(engine).count() == 1 and observe.histogram(engine, "s").first()["samples"] == 1
     assert engine.drop_source("t") == ["s"]
+
+
+def test_layers_fold_and_fail_whole(spark, engine, monkeypatch):
+    monkeypatch.setattr(states, "FANOUT", 2)
+    rows, names = make(random.Random(1), 30, 0), ("stats", "pairs")
+    for n in names:
+        engine.create_view(n, VIEWS[n])
+    engine.create_view("above", "SELECT n, COUNT(*) AS groups FROM stats GROUP BY n")
+    seen = set()
+    for i in range(5):
+        old = rows[4 * i : 4 * i + 3]
+        new = [(i_, g, (v or 0) + 1, f) for i_, g, v, f in old]
+        engine.apply("t", updates=(spark.createDataFrame(old, SCHEMA), spark.createDataFrame(new, SCHEMA)))
+        engine.apply("t", deletes=spark.createDataFrame(rows[4 * i + 3 : 4 * i + 4], SCHEMA))
+        seen.add(tuple(level for level, _ in engine.views["stats"].layers))
+    assert seen == {(2, 1), (2,)}
+    for n in names:
+        same(engine, n, VIEWS[n])
+    same(engine, "above", "SELECT n, COUNT(*) AS groups FROM (SELECT grp, COUNT(*) AS n FROM t GROUP BY grp) GROUP BY n")
+    before = sorted(map(repr, engine.read("stats").collect()))
+    with pytest.raises(ViewError, match="not there"):
+        engine.apply("t", deletes=spark.createDataFrame([(999, "zz", 1, True)], SCHEMA))
+    assert sorted(map(repr, engine.read("stats").collect())) == before
+    engine.compact("stats")
+    assert len(engine.views["stats"].layers) == 1 and sorted(map(repr, engine.read("stats").collect())) == before

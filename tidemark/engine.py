@@ -64,6 +64,7 @@ class View:
     relations: list[Relation] = field(default_factory=list)
     children: list[str] = field(default_factory=list)  # sub-views it was decomposed into
     state: DataFrame | None = None
+    layers: states.Layers = ()  # what an additive state is summed from
     enabled: bool = True
     flushes: int = 0
     last_rows: int | None = None
@@ -91,7 +92,14 @@ class Engine:
         self.sources[name.lower()] = Source(name, data, key, track)
 
     def compact(self, name: str) -> None:
-        """Write a source's current rows, so that its plan does not grow with each change."""
+        """Write a source's current rows, so that its plan does not grow with each change, or make a view's layers one."""
+        if name.lower() in self.views:
+            view = self._view(name)
+            with view.lock:
+                if len(view.layers) > 1:
+                    view.state = self.store.write(view.name, view.state)
+                    view.layers = states.base(view.state)
+            return
         source = self._source(name)
         source.data = self.store.write(f"sources/{source.name}", source.data)
 
@@ -305,6 +313,7 @@ class Engine:
             return
         rows = self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
         view.state = self.store.write(view.name, states.build(view.plan, rows, view.topk) if view.plan else rows)
+        view.layers = states.base(view.state) if view.plan and not view.plan.heaps else ()
         view.refreshed = time.time()
 
     # changes
@@ -406,24 +415,24 @@ class Engine:
     def _propagate(self, deltas: dict[str, Delta], old: dict[str, DataFrame], wanted: Callable[[View], bool], isolate: bool) -> int:
         """One pass over the views in order of depth; each finds all its relations' changes and old states."""
         deltas, old, done = dict(deltas), dict(old), 0
-        previous: list[tuple[View, DataFrame]] = []
+        previous: list[tuple[View, DataFrame, states.Layers]] = []
         for view in sorted(self.views.values(), key=lambda v: v.depth):
             if not view.enabled or not wanted(view) or not any(d in deltas for d in view.depends_on):
                 continue
             with view.lock:
                 began = time.time()
+                previous.append((view, view.state, view.layers))
                 try:
                     before = self._read_at(view, old)
-                    previous.append((view, view.state))
                     emitted = self._refresh(view, deltas, old, before)
                     view.last_error = None
                 except Exception as e:
                     view.last_error = str(e).splitlines()[0]
                     if not isolate:
-                        for v, s in previous:
-                            v.state = s
+                        for v, state, layers in previous:
+                            v.state, v.layers = state, layers
                         raise
-                    view.state = previous.pop()[1]
+                    _, view.state, view.layers = previous.pop()
                     self.warnings.append(f"{view.name}: {view.last_error}")
                     continue
                 done += 1
@@ -458,9 +467,18 @@ class Engine:
         if view.kind == "rows":
             view.state = self.store.write(view.name, patched(view.state, change, view.key))
             return net(change) if self._needed(view) else Delta()
+        keep = lambda df: self.store.write(view.name, df)
+        if view.layers:
+            previous = view.layers
+            view.layers, touched = states.append(view.plan, previous, change, keep)
+            view.state = states.stacked(view.plan, view.layers)
+            if not self._needed(view):
+                return Delta()
+            was, is_ = (states.read_layers(view.plan, x, view.schema, touched) for x in (previous, view.layers))
+            return Delta(was.exceptAll(is_), is_.exceptAll(was))
         now = lambda: self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
         previous = view.state
-        view.state, touched = states.merge(view.plan, view.state, change, view.topk, now, lambda df: self.store.write(view.name, df))
+        view.state, touched = states.merge(view.plan, view.state, change, view.topk, now, keep)
         if not self._needed(view):
             return Delta()
         was, is_ = (states.read(view.plan, s, view.schema, touched) for s in (previous, view.state))

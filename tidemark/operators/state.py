@@ -1,6 +1,10 @@
 """State tables of aggregate views: build, merge a signed change, read the answer.
 
-Additive statistics merge by one grouped sum over the old state and the signed change.
+A state without MIN and MAX is a stack of layers that add up: the table that was built, and the
+signed statistics of each change since. A change writes its own layer alone, whatever the size
+of the state; `FANOUT` layers of one level become one of the next, and the last level is
+merged into the base. Reading sums the layers by group.
+
 MIN and MAX keep the best `topk` values of each group as a sorted array (a heap): it is the
 true best min(topk, count) values, or a strict prefix of them after deletes. Deletes apply
 before inserts; a partial heap takes only values no worse than its worst; an empty one with
@@ -18,6 +22,9 @@ from ..plans.aggregate import COUNT, Plan
 from ..plans.analyze import ViewError
 from ..sources.changes import Delta
 
+#: Layers of one level before they become one of the next: 0 changes, 1 sums of changes, 2 the base.
+FANOUT = 8
+_BASE = 2
 _DIRTY = "__dirty"
 _NO_KEY = "__k"
 
@@ -87,6 +94,48 @@ def _partial(plan: Plan, rows: DataFrame | None, sign: int, topk: int) -> DataFr
     return out.select(*_keys(plan), *sums, *heaps)
 
 
+Layers = tuple[tuple[int, DataFrame], ...]
+
+
+def base(state: DataFrame) -> Layers:
+    return ((_BASE, state),)
+
+
+def _together(layers: Layers) -> DataFrame:
+    out = layers[0][1]
+    for _, part in layers[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _summed(plan: Plan, out: DataFrame) -> DataFrame:
+    return out.groupBy(*_keys(plan)).agg(*[F.sum(c).cast(out.schema[c].dataType).alias(c) for c in (COUNT, *plan.sums)])
+
+
+def stacked(plan: Plan, layers: Layers, touched: DataFrame | None = None) -> DataFrame:
+    """The state that layers add up to, of all groups or of those that agree with a row of `touched` in its columns."""
+    rows = _together(layers)
+    if touched is not None:
+        rows = _null_safe(rows, touched, touched.columns, "left_semi")
+    return rows if len(layers) == 1 and layers[0][0] == _BASE else _summed(plan, rows).where(F.col(COUNT) != 0)
+
+
+def append(plan: Plan, layers: Layers, delta: Delta, keep: Callable[[DataFrame], DataFrame]) -> tuple[Layers, DataFrame]:
+    """(layers with the change, keys it touches). The state is read for deletes only, and of the touched groups only."""
+    schema = layers[0][1].schema
+    parts = [p for p in (_partial(plan, _rows(plan, rows) if rows is not None else None, sign, 1) for sign, rows in ((-1, delta.minus), (1, delta.plus))) if p is not None]
+    change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    change = keep(change.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
+    layers, touched = (*layers, (0, change)), change.select(*_keys(plan))
+    if delta.minus is not None and not stacked(plan, layers, touched).where(f"{COUNT} < 0").isEmpty():
+        raise ViewError("a change deletes rows that are not there")
+    if sum(level == 0 for level, _ in layers) >= FANOUT:
+        layers = (*[x for x in layers if x[0] > 0], (1, keep(_summed(plan, _together(tuple(x for x in layers if x[0] == 0))))))
+    if sum(level == 1 for level, _ in layers) >= FANOUT:
+        layers = base(keep(stacked(plan, layers)))
+    return layers, touched
+
+
 def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(state after the change, keys it touches), both written by `keep`. delta holds changed rows of the row query, rows_now all rows after the change."""
     keys = _keys(plan)
@@ -128,6 +177,12 @@ def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Calla
     return after.select(state.columns), touched
 
 
+def read_layers(plan: Plan, layers: Layers, schema, touched: DataFrame) -> DataFrame:
+    """The answer of the touched groups; groups of COUNT(DISTINCT) are looked up without the counted value."""
+    columns = plan.keys[:-1] if plan.pair else _keys(plan)
+    return read(plan, stacked(plan, layers, touched.select(*columns).distinct() if columns else None), schema)
+
+
 def read(plan: Plan, state: DataFrame, schema, touched: DataFrame | None = None) -> DataFrame:
     """The answer of all groups, or of the touched ones."""
     rows, keys = state, _keys(plan)
