@@ -2,7 +2,8 @@
 
 1. quality: documents scored below 0.5 go.
 2. language: documents without a letter and those whose language is not clear (posterior below 0.5) go.
-3. near_dedup: of each group of near copies, the document with the smallest doc_id stays.
+3. near_dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the
+   document with the smallest doc_id stays.
 4. decontamination: documents in which a window of a benchmark item occurs go.
 5. sentencepiece: every document is encoded, decoded and reported with its pieces.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, pieces, quality, simhash
+from tidemark.llm import decontaminate, language, near, pieces, quality
 from tidemark.llm.shared import stored, table
 
 
@@ -32,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
+    groups = near.near_copies(docs)
     gone = groups.where("id <> component_id").select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
