@@ -8,8 +8,9 @@ start (positional bound) and end (length bound); what is left is verified word f
 byte for byte.
 
 The benchmark is read in blocks of a bounded size, each broadcast and scanned for by itself;
-spans and items of the blocks are merged per document. One block serves up to
-`block_bytes` of item text; with more blocks, document ids have to be unique.
+one block serves up to `block_bytes` of item text. With more blocks the documents are stored
+with a number per row, and spans and items of the blocks are merged per row: each row gets the
+same result however many blocks there are, also where ids are null or repeated.
 
 Null texts and texts without words have no hits; null items and items without words have no
 windows; rows with equal item ids are one item; empty tables on either side give no hits.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 from .textops import ALNUM, chunks, lower, string_bytes, word_hashes, words
 
 WINDOW = 8
@@ -194,6 +195,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     id_type, item_type = (x.schema[0].dataType.simpleString() for x in (texts, items))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
+    if blocks > 1:
+        texts, _ = stored(texts.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"), "rows")
+        id_type = texts.schema["id"].dataType.simpleString()
     parts = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).sort("item", "text").collect()
@@ -204,7 +208,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     for part in parts[1:]:
         found = found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        merged = [F.sort_array(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name) for name in ("spans", "items")]
+        found = found.groupBy(F.col("id.row").alias("row")).agg(F.first("id.id").alias("id"), F.max("n_words").alias("n_words"), *merged)
     return found.select("id", "n_words", F.expr(_COVERED).alias("n_hit"), "items", "spans")
 
 
