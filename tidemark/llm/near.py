@@ -1,15 +1,24 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Texts with equal sets of shingles are one set. A pair at or above the similarity shares that
-part of each of its sets at least, so shingles of one set only are counted and put aside, and
-sets of which too few shingles are shared are out. What is left is joined by prefix: shingles
-are ordered by the number of sets that have them, rarest first, and two sets that are similar
-enough share one of the first n - ceil(similarity * n) + 1. Candidates are verified by their
-whole sets. Nothing is sampled and no group is cut.
+Texts with equal sets of shingles are one set. What two sets of similarity s or more have to
+share follows from s and their sizes alone, so sets are put aside in two steps, neither of which
+moves all shingles:
+
+1. Each set sends its head, the n - ceil(s n) + l shingles that come first by their hash, with
+   l = 1 + LEAD n. Of two similar sets' heads at least l shingles are equal (l of the smaller one),
+   so a set of whose head fewer are in any other head has no partner.
+2. The others send all their shingles, which are ordered by the number of these sets that have
+   them, rarest first. Again similar sets share l shingles of their heads in that order.
+
+Candidates are verified by their whole sets. Large groups are linked by chains first (neighbours
+among sets of equal least hash); after that only heads' pairs of sets that are in different
+groups are candidates, so a group of m near copies costs about m pairs and not m^2. Nothing is
+sampled and no group is cut.
 
 Shingles are held as XXH64. Texts with fewer words than a shingle have one of all their words;
-null texts and texts without words are one set; an empty table gives an empty table; other
-columns are ignored.
+null texts and texts without words are one set; an empty table gives an empty table; equal rows
+are one set and each is returned; other columns are ignored. A batch of texts is held in memory
+with its shingles, so a very long text takes a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -20,87 +29,316 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import spread_join, stored
 from .simhash import _shingles
 from .textops import chunks, lower
 from .xxh import xxh64_ranges
 
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Shingles beyond the first of a head that similar sets share, as a part of their size.
+LEAD = 0.1
+#: Bits of the map of sets that are left, the same at any size; a full map only lets more pass to the exact join.
+MAP_BITS = 1 << 27
+#: Sets of one shingle that are told apart in the order; above, shingles are ordered by hash.
+FREQUENT = 1 << 16
+#: Sets of one shingle that are compared in one task with each other, and with as many others.
+BLOCK = 1 << 14
+_CHAINS = 4
+_GRAMS = 1 << 20
 
 _SHARED = "gram bigint, key bigint, df bigint"
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(id, grams) of texts(id, text): the distinct shingles, sorted."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, sorted in each row and distinct; row offsets; the name of each row's set)."""
+    clean, starts, lengths, rows = _shingles(lower(data), offsets, k)
+    h = xxh64_ranges(clean, starts, lengths).view(np.int64)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[new], row[new]
+    where = np.searchsorted(row, np.arange(len(rows)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(h.view(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+    name = _mixed(total[where[1:]] - total[where[:-1]] + np.diff(where).astype(np.uint64))
+    return h, where, name.view(np.int64)
+
+
+def _least(n: np.ndarray, similarity: float) -> np.ndarray:
+    """What a set of n shingles shares with a similar one; the margin keeps a product such as 0.8 * 5 from being rounded up."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _lead(n: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(LEAD * n + 1e-9).astype(np.int64)
+
+
+def _first_seen(seen: set, names: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(names), bool)
+    for i, x in enumerate(names.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[i] = True
+    return out
+
+
+def _heads(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(id, key, n, head) of texts(id, text); of equal sets in one task the first alone has its head."""
 
     def scan(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
-                clean, starts, lengths, rows = _shingles(lower(data), offsets, k)
-                h = xxh64_ranges(clean, starts, lengths).view(np.int64)
-                row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new]
-                where = np.searchsorted(row, np.arange(len(rows))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(where), pa.array(h))], ["id", "grams"])
+                h, where, name = _grams(data, offsets, k)
+                n = np.diff(where)
+                size = np.where(_first_seen(seen, name), np.minimum(n - _least(n, similarity) + _lead(n), n), 0)
+                cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                head = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[_ranges(where[:-1], size)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name), pa.array(n.astype(np.int64)), head], ["id", "key", "n", "head"])
 
-    return texts.mapInArrow(scan, f"id {texts.dtypes[0][1]}, grams array<bigint>")
+    return texts.mapInArrow(scan, f"id {texts.dtypes[0][1]}, key bigint, n bigint, head array<bigint>")
 
 
-def _shared(batches):
-    """Streams (gram, key) sorted by gram: the rows of grams that two sets or more have, with their number."""
+_SENT = "gram bigint, key bigint, got bigint, n bigint"
 
-    def out(gram, key):
-        cuts = np.flatnonzero(np.diff(gram)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(gram)]])
-        df = np.repeat(ends - starts, ends - starts)
-        many = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(gram[many]), pa.array(key[many]), pa.array(df[many])], ["gram", "key", "df"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _sent(batches):
+    """What heads(key, n, head) tell each other: of a shingle that several heads here have a note (got -1) and their count
+    with each set's own row (n > 0), of the others a row (got 0). So a shingle that very many sets have is few rows."""
+
+    def out(keys, n, grams, owner):
+        h, which, df = np.unique(grams, return_inverse=True, return_counts=True)
+        alone = df[which] == 1
+        own = np.bincount(owner[~alone], minlength=len(keys)).astype(np.int64)
+        noted = h[df > 1]
+        gram = np.concatenate([keys, grams[alone], noted])
+        key = np.concatenate([keys, keys[owner[alone]], noted])
+        got = np.concatenate([own, np.zeros(alone.sum(), np.int64), np.full(len(noted), -1)])
+        size = np.concatenate([n, np.zeros(len(gram) - len(n), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(got), pa.array(size)], ["gram", "key", "got", "n"])
+
+    held: list[tuple] = []
     for batch in batches:
-        gram, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(gram):
+        key, n, head = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+        many = np.asarray(head.value_lengths()).astype(np.int64)
+        some = many > 0
+        held.append((key[some], n[some], np.asarray(head.flatten()), many[some]))
+        if sum(len(x[2]) for x in held) >= _GRAMS:
+            yield out(*_joined(held))
+            held = []
+    if held:
+        yield out(*_joined(held))
+
+
+def _joined(held):
+    key, n, grams, many = (np.concatenate(x) for x in zip(*held, strict=True))
+    return key, n, grams, np.repeat(np.arange(len(key)), many)
+
+
+def _by_gram(batches):
+    """Streams rows sorted by their first column, cut between its values."""
+    held: list[tuple] = []
+    for batch in batches:
+        got = tuple(np.asarray(c) for c in batch.columns)
+        if not len(got[0]):
             continue
-        tail = int(np.searchsorted(gram, gram[-1]))
-        if tail or (held and held[0][0][0] != gram[0]):
-            held.append((gram[:tail], key[:tail]))
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        tail = int(np.searchsorted(got[0], got[0][-1]))
+        if tail or (held and held[0][0][0] != got[0][0]):
+            held.append(tuple(x[:tail] for x in got))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held = []
-        held.append((gram[tail:], key[tail:]))
+        held.append(tuple(x[tail:] for x in got))
     if held:
-        yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _met(batches):
+    """(key, got, n): per set how many of its shingles here are in another head. There are a few rows of a shingle per task that sent them."""
+    for gram, key, got, n in _by_gram(batches):
+        own = n > 0
+        g, k, note = gram[~own], key[~own], got[~own] < 0
+        order = np.lexsort((k, g))
+        g, k, note = g[order], k[order], note[order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        of = np.cumsum(new) - 1
+        other = new.copy()
+        other[1:] |= k[1:] != k[:-1]
+        several = np.bincount(of, weights=other, minlength=int(new.sum())) > 1
+        hit = several[of] & other & ~note if len(g) else note
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([key[own], k[hit]])), pa.array(np.concatenate([got[own], np.ones(int(hit.sum()), np.int64)])), pa.array(np.concatenate([n[own], np.zeros(int(hit.sum()), np.int64)]))],
+            ["key", "got", "n"],
+        )
+
+
+def _map_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each key's remainder: MAP_BITS bits whatever the table holds."""
+    at = keys.select((F.pmod("key", F.lit(MAP_BITS)) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for b, bits in zip(rows["b"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
 
+def _sets(texts: DataFrame, k: int, known: np.ndarray) -> DataFrame:
+    """(key, grams) of the sets that may be on the map, once per task."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id): component_id is the smallest id that pairs of `similarity` or more reach."""
+    def scan(batches):
+        bits, seen = shared.value, set()
+        for batch in batches:
+            for _, data, offsets in chunks(batch, "text"):
+                h, where, name = _grams(data, offsets, k)
+                at = np.mod(name, MAP_BITS)
+                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                hit = hit[_first_seen(seen, name[hit])]
+                size = np.diff(where)[hit]
+                cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[_ranges(where[:-1][hit], size)]))], ["key", "grams"])
+
+    return texts.select("text").mapInArrow(scan, "key bigint, grams array<bigint>")
+
+
+def _shared(batches):
+    """Streams (gram, key) sorted by gram: the rows of grams that two sets or more have, with their number up to FREQUENT."""
+
+    def out(gram, key, df):
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(df)], ["gram", "key", "df"])
+
+    held, passing = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    for batch in batches:
+        gram, key = (np.concatenate(x) for x in zip(held, (np.asarray(c) for c in batch.columns), strict=True))
+        if not len(gram):
+            continue
+        cuts = np.flatnonzero(np.diff(gram)) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(gram)]])
+        df = np.repeat(np.minimum(ends - starts, FREQUENT), ends - starts)
+        if passing is not None:
+            df[gram == passing] = FREQUENT
+        tail = int(starts[-1])
+        if len(gram) - tail >= FREQUENT or passing == gram[-1]:
+            passing, tail = int(gram[-1]), len(gram)
+        many = df[:tail] > 1
+        yield out(gram[:tail][many], key[:tail][many], df[:tail][many])
+        held = gram[tail:], key[tail:]
+    if len(held[0]) > 1:
+        yield out(*held, np.full(len(held[0]), len(held[0])))
+
+
+def _neighbours(batches):
+    """Pairs (a, b) of sets that follow each other with the same least hash."""
+    last = None
+    for batch in batches:
+        which, least, key = (np.asarray(batch.column(i)) for i in range(3))
+        if last is not None:
+            which, least, key = (np.concatenate([[x], y]) for x, y in zip(last, (which, least, key), strict=True))
+        if len(key):
+            last = which[-1], least[-1], key[-1]
+        same = (which[1:] == which[:-1]) & (least[1:] == least[:-1])
+        a, b = key[:-1][same], key[1:][same]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _across(similarity: float):
+    """Pairs of different groups among rows (gram, low, high, block, root, key, n, lead), a group of (gram, low, high) at a time."""
+
+    def out(a, b, lead):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(lead)], ["a", "b", "lead"])
+
+    def pairs(block, root, key, n, lead):
+        side = block == block.min()
+        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(key)), None)
+        for i in left.tolist():
+            j = np.arange(i + 1, len(key)) if right is None else right
+            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9)]
+            if len(j):
+                yield np.full(len(j), key[i]), key[j], np.minimum(lead[j], lead[i])
+
+    def scan(batches):
+        def groups():
+            held = None
+            for batch in batches:
+                got = tuple(np.asarray(c) for c in batch.columns)
+                held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
+                if not len(held[0]):
+                    continue
+                new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+                for s, e in zip([0, *new[:-1].tolist()], new.tolist(), strict=False):
+                    yield tuple(x[s:e] for x in held[3:])
+                if len(new):
+                    held = tuple(x[new[-1] :] for x in held)
+            if held is not None and len(held[0]):
+                yield tuple(x for x in held[3:])
+
+        found, size = [], 0
+        for block, root, key, n, lead in groups():
+            for some in pairs(block, root, key, n, lead):
+                found.append(some)
+                size += len(some[0])
+                if size > 1 << 18:
+                    yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    found, size = [], 0
+        if found:
+            yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return scan
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, component_id): component_id is the smallest id that pairs of `similarity` or more reach. docs is read twice."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = _sets(texts, k).withColumn("key", F.xxhash64("grams"))
-    marks, _ = stored(keyed.select("id", "key", F.size("grams").alias("n")), "sets")
-    sizes = marks.groupBy("key").agg(F.first("n").alias("n"))
-    distinct = keyed.groupBy("key").agg(F.first("grams").alias("grams"))
-    met = distinct.select("key", F.explode("grams").alias("gram")).select("gram", "key").repartition("gram").sortWithinPartitions("gram")
-    shared, _ = stored(met.mapInArrow(_shared, _SHARED), "shared")
-    # what a set has to share; the margin keeps a product such as 0.8 * 5 from being rounded up
+    marks, _ = stored(_heads(texts, k, similarity), "heads")
+    met = marks.select("key", "n", "head").mapInArrow(_sent, _SENT).repartition("gram").sortWithinPartitions("gram").mapInArrow(_met, "key bigint, got bigint, n bigint")
     least = F.ceil(F.col("n") * F.lit(similarity) - 1e-9)
-    own = shared.groupBy("key").agg(F.count("*").alias("common")).join(sizes, "key").where(F.col("common") >= least)
-    own, _ = stored(own.select("key", "n", (F.col("common") - least + 1).alias("prefix")), "similar")
-    left = shared.join(own, "key")
-    # grams of one set only come first in the order, so the prefix is n - least + 1 less those
-    sorted_sets = left.groupBy("key", "n", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    kept, _ = stored(sorted_sets.select("key", "n", F.col("prefix").cast("int").alias("prefix"), F.col("grams.gram").alias("grams")), "prefixes")
-    heads = kept.select("key", "n", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
-    other = heads.select("gram", F.col("key").alias("b"), F.col("n").alias("m"))
-    close = (F.col("key") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-9)
-    pairs = heads.join(other, "gram").where(close).select(F.col("key").alias("a"), "b").distinct()
-    first = kept.select(F.col("key").alias("a"), "n", F.col("grams").alias("x"))
-    second = kept.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("grams").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(first, "a").join(second, "b").where(both >= (F.col("n") + F.col("m") - both) * F.lit(similarity) - 1e-9).select("a", "b")
-    found = components(links)
-    named = marks.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("id", F.coalesce("root", "key").alias("root"))
-    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    need = 1 + F.floor(least * F.lit(LEAD) + 1e-9)  # a partner may be as small as `least`
+    left, _ = stored(met.groupBy("key").agg(F.sum("got").alias("got"), F.max("n").alias("n")).where(F.col("got") >= need).select("key", "n"), "left")
+
+    sets = _sets(texts, k, _map_of(left)).groupBy("key").agg(F.first("grams").alias("grams")).join(left, "key", "left_semi")
+    each = sets.select("key", F.explode("grams").alias("gram")).select("gram", "key").repartition("gram").sortWithinPartitions("gram")
+    shared, _ = stored(each.mapInArrow(_shared, _SHARED), "shared")
+    # grams of one set only come first in the order, so the rest of a head is as much shorter
+    lead = 1 + F.floor(F.col("n") * F.lit(LEAD) + 1e-9)
+    own = shared.groupBy("key").agg(F.count("*").alias("common")).join(left, "key").where(F.col("common") >= least)
+    own = own.select("key", "n", lead.alias("lead"), F.least(F.col("common"), F.col("common") - least + lead).cast("int").alias("head"))
+    sorted_sets = shared.join(own, "key").groupBy("key", "n", "lead", "head").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    kept, _ = stored(sorted_sets.select("key", "n", "lead", "head", F.col("grams.gram").alias("grams")), "candidates")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        first = kept.select(F.col("key").alias("a"), "n", F.col("grams").alias("x"))
+        second = kept.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("grams").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(first, "a").join(second, "b").where(both >= (F.col("n") + F.col("m") - both) * F.lit(similarity) - 1e-9).select("a", "b")
+
+    hashed = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.array_min(F.transform("grams", lambda g, i=i: F.xxhash64(g, F.lit(i)))).alias("least")) for i in range(_CHAINS)]))
+    chain = kept.select("key", "n", hashed.alias("h")).select("h.which", "h.least", "key", "n")
+    chain = chain.repartitionByRange("which", "least", "n", "key").sortWithinPartitions("which", "least", "n", "key").select("which", "least", "key")
+    chained, _ = stored(verified(chain.mapInArrow(_neighbours, "a bigint, b bigint").distinct()), "chained")
+    groups = components(chained)
+
+    heads = kept.select("key", "n", "lead", F.explode(F.slice("grams", F.lit(1), F.col("head"))).alias("gram"))
+    heads, _ = stored(heads.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "grouped")
+    mixed = heads.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    dealt = heads.join(mixed.select("gram", F.ceil(F.col("many") / block).cast("int").alias("blocks")), "gram")
+    dealt = dealt.withColumn("block", F.pmod("key", F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "key", "n", "lead")
+    dealt = dealt.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
+    pairs = dealt.mapInArrow(_across(similarity), "a bigint, b bigint, lead bigint").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("lead").alias("lead")).where("times >= lead")
+    found = components(chained.unionByName(verified(pairs)))
+
+    named = marks.groupBy("key").agg(F.min("id").alias("least")).join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return spread_join(marks.select("id", "key"), named.join(best, "root").select("key", "component_id"), "key").select("id", "component_id")

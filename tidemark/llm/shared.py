@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than this part of the rows is spread; so there are at most as many such keys as its inverse.
+HOT_SHARE = 1e-3
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +40,19 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def discard(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df stored with a number per row in `column`: whatever its ids are, each row can be told from the others from here on."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)[0]
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with named, in which keys are unique; rows of a key that very many have go to SALTS tasks."""
+    total = rows.count()
+    hot = rows.groupBy(key).count().where(F.col("count") > max(1.0, total * HOT_SHARE)).select(key, F.lit(True).alias("__hot"))
+    hot = stored(hot, "hot")[0]  # at most 1 / HOT_SHARE rows
+    own = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), own).otherwise(0)).drop("__hot")
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(named.join(F.broadcast(hot), key, "left").withColumn("__salt", copies).drop("__hot"), [key, "__salt"]).drop("__salt")
