@@ -4,11 +4,14 @@ Code points (A-Z lower-cased) give n-grams of 1 to 3 characters, hashed into a f
 of buckets. The log-probability matrix (buckets x languages) is broadcast; a batch of texts is
 a sparse matrix in row order, and its product with the matrix is a gather and a sum per text.
 
-The model is fitted on at most about `sample` labelled documents, chosen by a hash of the id.
+The model counts every document with a language; the number of languages is bounded (more
+raise an error), and so is the matrix.
 
 Null texts and texts without a letter are `und` with score 0, as is every text if nothing
 could be learned; ties go to the language that sorts first; rows with a null language teach
-nothing; repeated rows count as often as they occur; other columns are ignored.
+nothing; repeated rows, and rows with null or repeated ids, count and are judged each by itself;
+an empty table gives an empty table; other columns are kept. A text is held with its n-grams, so
+a very long one takes some 50 times its size.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, stored, table
 from .textops import chunks, lower, sums_by_row
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-SAMPLE = 20_000
+#: Languages a model may have.
+LANGUAGES = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -54,35 +58,32 @@ def _features(data: np.ndarray, offsets: np.ndarray):
         yield (h & np.uint32(BUCKETS - 1)).astype(np.int64), rows
 
 
-def sampled(rows: DataFrame, id_col: str, bound: int) -> Column:
-    """A condition that about `bound` of the rows meet, spread by a hash of the id; every row if there are no more."""
-    n = rows.count()
-    return F.lit(True) if n <= bound else F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < int(bound / n * (1 << 20))
-
-
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket and language)."""
-    rows = docs.where(F.col(label_col).isNotNull())
-    rows = rows.where(sampled(rows.select(id_col), id_col, sample)).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by bucket and language), counted over every row with a language."""
+    rows = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
                 names, which = np.unique(np.array(part.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
+                got = np.zeros(len(names) * BUCKETS, np.int64)
                 for buckets, where in _features(data, offsets):
-                    owner = np.repeat(which, np.diff(where))
-                    for i, name in enumerate(names):
-                        got = np.bincount(buckets[owner == i], minlength=BUCKETS)
-                        totals[name] = totals.get(name, 0) + got
-                for i, name in enumerate(names):
-                    totals.setdefault(name, np.zeros(BUCKETS, np.int64))
+                    got += np.bincount(np.repeat(which, np.diff(where)) * BUCKETS + buckets, minlength=len(got))
+                for name, counts in zip(names, got.reshape(len(names), BUCKETS), strict=True):
+                    totals[name] = totals[name] + counts if name in totals else counts
+            if len(totals) > LANGUAGES:
+                break
         for name, counts in totals.items():
             used = np.flatnonzero(counts)
             used = used if len(used) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted, path = stored(rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "languages")
+    if counted.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    found = counted.toArrow()  # at most LANGUAGES * BUCKETS rows
+    discard(docs.sparkSession, path)
     langs = sorted(set(found["lang"].to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
@@ -92,15 +93,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the posterior of lang_pred under equal priors) appended.
+    """docs with lang_pred, score (the posterior of lang_pred under equal priors) and gain appended.
 
-    A column of docs that is named lang_pred or score is replaced.
+    gain is how much better, in nats per n-gram, lang_pred explains the text than chance does (all buckets
+    alike): it does not grow with the length, and is below zero where no language explains the text.
+    Columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", "gain")
     names = [f"c{i}" for i in range(len(kept.columns))]
     plain = kept.toDF(*names)
-    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", lang_pred string, score double, gain double"
     text = names[kept.columns.index(text_col)]
 
     def score(batches):
@@ -110,18 +113,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             for part, data, offsets in chunks(batch, text):
                 known = np.asarray(part.column(part.num_columns - 1).fill_null(False).to_numpy(zero_copy_only=False)) & bool(len(langs))
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                pred, best = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
+                pred, best, gain = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if known.any():
-                    total = np.zeros((part.num_rows, len(langs)))
+                    total, grams = np.zeros((part.num_rows, len(langs))), np.zeros(part.num_rows)
                     for buckets, where in _features(data, offsets):
                         total += sums_by_row(weights[buckets], where)
+                        grams += np.diff(where)
                     share = np.exp(total - total.max(axis=1, keepdims=True))
                     share /= share.sum(axis=1, keepdims=True)
                     pred[known], best[known] = langs[share.argmax(axis=1)][known], share.max(axis=1)[known]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(best)], [*names, "lang_pred", "score"])
+                    gain[known] = (total.max(axis=1) / np.maximum(grams, 1) + np.log(BUCKETS))[known]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(best), pa.array(gain)], [*names, "lang_pred", "score", "gain"])
 
     marked = plain.withColumn("has_letter", F.col(text).rlike(r"\p{L}"))
-    return marked.mapInArrow(score, schema).toDF(*kept.columns, "lang_pred", "score")
+    return marked.mapInArrow(score, schema).toDF(*kept.columns, "lang_pred", "score", "gain")
 
 
 def held_out(id_col: str, mod: int, remainder: int) -> Column:
@@ -130,6 +135,6 @@ def held_out(id_col: str, mod: int, remainder: int) -> Column:
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~held_out("doc_id", 4, 2)), "doc_id", "text", "lang")
+    model = fit(docs.where(~held_out("doc_id", 4, 2)))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than this part of the rows is spread; so there are at most as many such keys as its inverse.
+#: A key with more than this part of the rows is not gathered; so there are at most as many such keys as its inverse.
 HOT_SHARE = 1e-3
-SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +47,20 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """The inner join of rows with named, in which keys are unique; rows of a key that very many have go to SALTS tasks."""
+    """The inner join of rows with named, in which keys are unique.
+
+    What named says of keys that very many rows have is broadcast, so that those rows stay where they are; the others are shuffled.
+    """
     total = rows.count()
-    hot = rows.groupBy(key).count().where(F.col("count") > max(1.0, total * HOT_SHARE)).select(key, F.lit(True).alias("__hot"))
-    hot = stored(hot, "hot")[0]  # at most 1 / HOT_SHARE rows
-    own = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), own).otherwise(0)).drop("__hot")
-    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return dealt.join(named.join(F.broadcast(hot), key, "left").withColumn("__salt", copies).drop("__hot"), [key, "__salt"]).drop("__salt")
+    hot = rows.groupBy(key).count().where(F.col("count") > max(1.0, total * HOT_SHARE)).select(key)
+    often, _ = stored(named.join(F.broadcast(hot), key, "left_semi"), "hot")  # at most 1 / HOT_SHARE rows
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named, key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
+def sampled(rows: DataFrame, bound: int) -> DataFrame:
+    """About `bound` rows, spread by a hash of all their columns, or every row if there are no more; twice `bound` at most, also of equal rows."""
+    n = rows.count()
+    if n <= bound:
+        return rows
+    return rows.where(F.xxhash64(*rows.columns, F.lit("sample")).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(max(1, int(bound / n * (1 << 63))))).limit(2 * bound)

@@ -7,8 +7,10 @@ long the batch is. A single text longer than the bound is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,21 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: workers stay for later stages and would hold the most that any batch took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
