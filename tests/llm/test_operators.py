@@ -161,27 +161,10 @@ def test_models(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
     got = {r["doc_id"]: r["score"] for r in quality.score(table, quality.fit(table, labels)).collect()}
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(200)) and 0 <= got[200] <= 1
-    scored = {r["id"]: r for r in lm_score.score(table, lm_score.fit(table, labels.where("quality = 1"))).collect()}
+    scored = {r["id"]: r for r in lm_score.score(table, labels.where("quality = 1")).collect()}
     assert max(scored[i]["score"] for i in range(1, 200, 2)) < min(scored[i]["score"] for i in range(0, 200, 2)) and scored[200]["n_tokens"] == 0
     named = docs(spark, ["der hund und die katze", "the dog and the cat"] * 20 + ["12 !", None]).selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS lang")
-    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(named, language.fit(named.where("text IS NOT NULL"), "doc_id", "text", "lang")).collect()}
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(named, language.fit(named.where("text IS NOT NULL"))).collect()}
     assert told[0] == "de" and told[1] == "en" and told[40] == told[41] == "und"
 
 
-@pytest.mark.parametrize("size", [0, 1, 3, 5, 100])
-def test_vocabulary_takes_the_most_frequent_words(spark, size):
-    counts = {"a": 40, "b": 20, "c": 7, "d": 2, "e": 2, "f": 2, "g": 1}
-    got = lm_score.vocabulary(docs(spark, [" ".join([w] * n) for w, n in counts.items()] + [None, ""]), "text", size)
-    data, offsets = textops.string_bytes(pa.array(list(counts)))
-    h = textops.word_hashes(data, textops.words(data, offsets, textops.ALNUM))
-    assert len(got) <= size and set(h[: min(size, 3)]) <= set(got) <= set(h[:6])
-    if size >= 5:  # ties are split by hash, in slices of which these words share none
-        assert len(got) == min(size, 6)
-
-
-def test_targets_are_marked_alike_by_broadcast_and_by_shuffle(spark):
-    rows = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None), (1, "a")]
-    texts, target = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(1,), (1,), (3,), (9,), (None,)], "id long")
-    want = sorted([("a", True), ("b", True), ("c", False), ("d", False), (None, True), ("a", True)], key=repr)
-    for bound in (10, 0):
-        assert sorted(map(tuple, lm_score._marked(texts, target, bound).collect()), key=repr) == want
