@@ -11,7 +11,8 @@ only; its Content-Length is that of the full payload.
 
 Null texts are empty payloads; a null key is written as an empty id, is always a response and
 reads back as null; keys may repeat; line breaks in URLs are percent-encoded; an empty table
-gives no archives; columns beside key, url and text are ignored.
+gives no archives; columns beside key, url and text are ignored. A record is written and read
+in memory, so a very long payload takes a few times its size.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import sampled
-from .shared import fresh_path, stored, table
+from .shared import fresh_path, sampled, spread_join, stored, table
 
 #: Fixed values of the format.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -39,7 +39,8 @@ MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
-DICTIONARY_SAMPLE = 1000
+#: Stretches of payloads that the dictionary is trained on, and their characters.
+DICTIONARY_SAMPLE, STRETCH = 1000, 1 << 14
 LEVEL = 3
 _READ = 1 << 20
 _ID = "urn:record:"
@@ -234,10 +235,10 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     return numbered.mapInArrow(read, _SCHEMA)
 
 
-def train_dictionary(pages: DataFrame, key: str, text: str, size: int = DICTIONARY_BYTES, sample: int = DICTIONARY_SAMPLE) -> bytes:
-    """A dictionary trained on the beginnings of about `sample` payloads, chosen by a hash of the key; empty if they are too few to train on."""
-    rows = pages.where(sampled(pages.select(key), key, sample)).where(F.length(text) > 0)
-    samples = [r[0].encode() for r in rows.select(F.substring(text, 1, 1 << 16)).collect()]
+def train_dictionary(pages: DataFrame, text: str, size: int = DICTIONARY_BYTES, sample: int = DICTIONARY_SAMPLE) -> bytes:
+    """A dictionary trained on about `sample` stretches, chosen by a hash among those of all payloads; empty if they are too few to train on."""
+    stretches = pages.select(F.explode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))).alias("stretch"))
+    samples = sorted(r[0].encode() for r in sampled(stretches, sample).collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
@@ -248,10 +249,12 @@ def archive_pages(pages: DataFrame, where: str, key: str = "page_id", url: str =
     """Write a record per row; of equal payloads of `revisit_from` bytes or more, all but that with the largest key become revisits of it. Returns the manifest."""
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.when(F.octet_length("text") >= revisit_from, F.sha1("text")))
-    first = rows.where("digest IS NOT NULL AND k IS NOT NULL").groupBy("digest").agg(F.max("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = rows.where("digest IS NOT NULL AND k IS NOT NULL").groupBy("digest").agg(F.max("k").alias("first"))
     refers = F.when((F.col("first").isNotNull()) & (F.col("k") != F.col("first")), F.col("first").cast("string"))
-    out = rows.join(first, "digest", "left").select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("key"), "url", "text", refers.alias("refers_to"))
-    return write_archives(out, where, train_dictionary(pages, key, text), archive_bytes)
+    alone = F.col("digest").isNull() | F.col("k").isNull()
+    met = spread_join(rows.where(~alone), first, "digest").unionByName(rows.where(alone).withColumn("first", F.lit(None)))
+    out = met.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("key"), "url", "text", refers.alias("refers_to"))
+    return write_archives(out, where, train_dictionary(pages, text), archive_bytes)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
