@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, table
+from .shared import spread_join, stored, table
 from .textops import NONSPACE, chunks, lower, sums_by_row, words
 from .xxh import xxh64_ranges
 
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct, split_above))
     rooted = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return spread_join(marks, rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
