@@ -13,7 +13,10 @@ A file of a unigram model brings log scores. A file of a byte-pair model brings
 only; then piece i of n has the log of 1 / ((i + 1) H(n)), Zipf's law over its rank.
 
 Null and empty texts have no pieces; decoding gives the text back, save that the marker
-character itself comes back as a space; other columns are kept.
+character itself comes back as a space; of segmentations with equal sums that whose last piece
+is found first stays; repeated rows, and rows with null or repeated ids, are each encoded; an
+empty table gives an empty table; other columns are kept. A text is held with its pieces, so a
+very long one takes some 30 times its size.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import Words, chunks, string_bytes, word_hashes
+from .textops import Words, chunks, string_bytes, sums_by_row, word_hashes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -291,21 +295,41 @@ def _plain(df: DataFrame, drop: str) -> tuple[DataFrame, list[str], DataFrame]:
     return kept, names, kept.toDF(*names)
 
 
+def _marked_spaces(part: pa.RecordBatch, index: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets with the marker character as a space."""
+    if MARKER.encode() not in data.tobytes():
+        return data, offsets
+    column = part.column(index).fill_null("")
+    return string_bytes(pa.array([x.replace(MARKER, " ") for x in column.to_pylist()], pa.large_string()))
+
+
+def _lists(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of byte ranges; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        data.tobytes().decode()
+        text = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+        text.validate(full=True)
+        return text
+    except (UnicodeDecodeError, pa.ArrowInvalid):
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+
+
 def encode(docs: DataFrame, model: Pieces, text_col: str = "text") -> DataFrame:
     """docs with `ids` appended (a column of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept, names, plain = _plain(docs, "ids")
-    text = names[kept.columns.index(text_col)]
+    at = kept.columns.index(text_col)
 
     def run(batches):
         solve = shared.value.encoder()
         for batch in batches:
-            for part, data, offsets in chunks(batch, text):
-                if MARKER.encode() in data.tobytes():
-                    column = part.column(part.schema.get_field_index(text)).fill_null("")
-                    data, offsets = string_bytes(pa.array([x.replace(MARKER, " ") for x in column.to_pylist()], pa.large_string()))
-                ids, rows = solve(data, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))], [*names, "ids"])
+            for part, data, offsets in chunks(batch, names[at]):
+                ids, rows = solve(*_marked_spaces(part, at, data, offsets))
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, rows)], [*names, "ids"])
 
     return plain.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", ids array<int>").toDF(*kept.columns, "ids")
 
@@ -323,27 +347,37 @@ def decode(encoded: DataFrame, model: Pieces, ids_col: str = "ids") -> DataFrame
                 lists = part.column(source)
                 ids = np.asarray(lists.flatten().fill_null(-1)).astype(np.int64)
                 rows = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
-                data, offsets = shared.value.decode(ids, rows)
-                try:
-                    data.tobytes().decode()
-                    text = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-                    text.validate(full=True)
-                except (UnicodeDecodeError, pa.ArrowInvalid):
-                    text = pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, text], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _strings(*shared.value.decode(ids, rows))], [*names, "decoded"])
 
     return plain.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", decoded string").toDF(*kept.columns, "decoded")
 
 
 def report(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, n_bytes, ids_hash, round_trip): figures of the encoding, and whether decoding gives the text back."""
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    both = decode(encode(texts, model), model)
-    low, high = int(model.byte_ids.min()), int(model.byte_ids.max())
-    return both.select(
-        id_col, F.size("ids").cast("bigint").alias("n_pieces"), F.size(F.filter("ids", lambda x: (x >= low) & (x <= high))).cast("bigint").alias("n_bytes"),
-        F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARKER, " ")).alias("round_trip"),
-    )
+    """(id, ids, n_pieces, n_bytes, ids_hash, round_trip, decoded): each text's encoding, read back in the same task; figures
+    of it, whether decoding gives the text back, and what it gives where not."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        model = shared.value
+        solve = model.encoder()
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                data, offsets = _marked_spaces(part, 1, data, offsets)
+                ids, rows = solve(data, offsets)
+                back, where = model.decode(ids.astype(np.int64), rows)
+                same = np.diff(where) == np.diff(offsets)
+                if not (same.all() and (back == data).all()):
+                    same &= [back[a:b].tobytes() == data[c : c + b - a].tobytes() for a, b, c in zip(where[:-1], where[1:], offsets[:-1], strict=True)]
+                decoded = pa.nulls(part.num_rows, pa.string()) if same.all() else pc.if_else(pa.array(same), None, _strings(back, where))
+                n_bytes = sums_by_row(model.is_byte[ids].astype(np.int64), rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids, rows), pa.array(np.diff(rows)), pa.array(n_bytes), pa.array(same), decoded], _REPORT)
+
+    found = texts.mapInArrow(run, f"id {texts.dtypes[0][1]}, ids array<int>, n_pieces bigint, n_bytes bigint, round_trip boolean, decoded string")
+    return found.select(F.col("id").alias(id_col), "ids", "n_pieces", "n_bytes", F.xxhash64("ids").alias("ids_hash"), "round_trip", "decoded")
+
+
+_REPORT = ["id", "ids", "n_pieces", "n_bytes", "round_trip", "decoded"]
 
 
 def op5_sentencepiece(spark, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
