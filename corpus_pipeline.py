@@ -1,7 +1,8 @@
 """A training-corpus pipeline: each stage works on all that the one before kept.
 
 1. quality: documents scored below 0.5 go.
-2. language: documents without a letter and those whose language is not clear (posterior below 0.5) go.
+2. language: documents without a letter, those whose language is not clear (posterior below 0.5) and those
+   that no learned language explains better than chance do, per n-gram, go.
 3. near_dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one row
    stays, that with the smallest doc_id; null ids come last, and of equal ids the row that is stored first.
 4. decontamination: documents in which a window of a benchmark item occurs go.
@@ -38,8 +39,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs.where(~language.held_out("doc_id", 4, 2)), "doc_id", "text", "lang")
-    return _kept(docs, language.identify(_apart(docs), model).where(f"lang_pred <> '{language.UNKNOWN}' AND score >= 0.5"))
+    model = language.fit(docs.where(~language.held_out("doc_id", 4, 2)))
+    return _kept(docs, language.identify(_apart(docs), model).where(f"lang_pred <> '{language.UNKNOWN}' AND score >= 0.5 AND gain > 0"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
