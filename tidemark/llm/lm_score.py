@@ -1,22 +1,23 @@
 """Cross-entropy difference of two matched bigram models.
 
 The background model counts every document, the target model every document of the target set.
-Both share one vocabulary, every word of the corpus, and one interpolation of the bigram's share
-of its context with the smoothed share of the word. A document's score is the mean over its
-tokens of the target loss less the background loss: the lower, the closer to the target.
-
-Counts are exact and grow with the corpus; only two parts of them, of fixed size, are broadcast:
-the HEAD most frequent words, and bigrams with more than one of HOT tokens (there are at most
-HOT of them), whose losses are found where the text is read. Other bigrams go to the task of
-their part, packed by blocks of documents; there all occurrences of a bigram meet, are counted,
-and give each document's losses. Bigrams with a word beyond the head go along as rows and are
-joined with the stored words. All ways give the same figures.
+Both share one vocabulary, every word of the corpus, and one smoothing: a bigram's share of its
+context is interpolated with the word's share of all tokens, and that with the corpus's share of
+the word, which has the weight of PRIOR tokens. A document's score is the mean over its tokens of
+the target loss less the background loss: the lower, the closer to the target.
+
+Counts are exact, grow with the corpus and are never gathered in one place. Documents are dealt
+out in blocks; a block asks, once for each of its different n-grams and packed by parts of their
+names, what the corpus's counts are, and tells its own; a part adds up what all blocks tell it and
+answers each; with the answers a block's documents are scored. So an n-gram that a third of all
+tokens are is one question per block, and no table of counts is broadcast. N-grams go by hashes
+with SPARE bits more than the number of tokens has: one in 2^SPARE shares its name with another.
 
 Null texts and texts without words have no tokens and a score of 0; without target documents the
-target model is the smoothed one alone; repeated rows count as often as they occur and each has
-its score, also with null or repeated ids; target ids may repeat or be missing from the corpus;
-an empty table gives an empty table; other columns are ignored. A task holds a block of texts, so
-a text longer than a block takes a small multiple of its size.
+target model is the corpus's share of words; repeated rows count as often as they occur and each
+has its score, also with null or repeated ids; target ids may repeat or be missing from the
+corpus; an empty table gives an empty table; other columns are ignored. A task holds a block of
+texts with its n-grams, so a text longer than a block takes some 30 times its size.
 """
 
 from __future__ import annotations
@@ -24,303 +25,125 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_join, stored, table
-from .textops import ALNUM, chunks, lower, word_hashes, words
-
-#: Words whose counts are broadcast (40 bytes each); the others' counts are joined.
-HEAD = 1 << 20
-#: A bigram with more than one of so many tokens is counted beforehand, so that no part gathers it.
-HOT = 1 << 13
-#: Tokens of a block of documents and of a part of the bigrams, about.
-BLOCK_TOKENS, PART_TOKENS = 1 << 20, 1 << 20
-_BLOCK_DOCS = 1 << 15
-#: Steps to a doubling of a word's count (counts below 90 have steps of their own), and slices of the last step.
-_STEPS, _SLICES = 64, 4096
+from .shared import table
+from .textops import ALNUM, lower, release, string_bytes, sums_by_row, word_hashes, words
+
+#: Bytes of text of a block of documents, and of the texts whose n-grams make a part, about.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 6 << 20
+SPARE = 24
 #: Up to so many distinct target ids are broadcast; more are joined by a shuffle, once however many they are.
 BROADCAST_IDS = 1_000_000
 #: Parts into which the rows of each id are dealt for that shuffle, so that one id with many rows is many tasks.
 SALTS = 32
-#: Weight of the bigram estimate, and the added count of the unigram estimate.
-BIGRAM_WEIGHT, ADDED = 0.7, 0.5
-#: Stands before the first word of a text.
-BEGIN = np.uint64(0)
+#: Weight of the bigram estimate, and tokens that the corpus's share of a word counts for.
+BIGRAM_WEIGHT, PRIOR = 0.7, 1000.0
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, the word before, row offsets) of the tokens."""
+    """(word, the word before or 0, row offsets) of the tokens."""
     data = lower(data)
     found = words(data, offsets, ALNUM)
-    word = np.maximum(word_hashes(data, found), BEGIN + np.uint64(1))
+    word = np.maximum(word_hashes(data, found), np.uint64(1))
     before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])[: len(word)]
-    before[found.rows[:-1][np.diff(found.rows) > 0]] = BEGIN
+    before[found.rows[:-1][np.diff(found.rows) > 0]] = 0
     return word, before, found.rows
 
 
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = before * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F)
+def _named(h: np.ndarray, bits: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def _blocks(batches):
-    """(ids, word, before, document of each token, whether it is a target) of blocks of rows (id, text, target)."""
-
-    def out(held):
-        ids = pa.concat_arrays([x[0] for x in held])
-        counts = np.concatenate([x[3] for x in held])
-        target = np.concatenate([x[4] for x in held])
-        return ids, np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(counts)), counts), target
-
-    held, size, many = [], 0, 0
-    for batch in batches:
-        for part, data, offsets in chunks(batch, "text"):
-            word, before, rows = _tokens(data, offsets)
-            if held and many + part.num_rows > _BLOCK_DOCS:
-                yield out(held)
-                held, size, many = [], 0, 0
-            held.append((part.column(0), word, before, np.diff(rows), np.asarray(part.column(2).to_numpy(zero_copy_only=False)).astype(bool)))
-            size, many = size + len(word), many + part.num_rows
-            if size >= BLOCK_TOKENS:
-                yield out(held)
-                held, size, many = [], 0, 0
-    if held:
-        yield out(held)
-
-
-_COUNTS = ("b", "t", "cb", "ct")
-
-
-def _counted(marked: DataFrame, hot: int) -> DataFrame:
-    """(before, word, b, t, cb, ct), stored: counts of each word (before is null) as a token and as a context in background
-    and target, and a lower bound of the count of each bigram that may have more than one of `hot` tokens."""
-
-    def count(batches):
-        for _, word, before, doc, target in _blocks(batches):
-            both, which = np.unique(np.concatenate([word, before]), return_inverse=True)
-            mine = target[doc]
-            n = len(word)
-            sums = [np.bincount(w[m], minlength=len(both)) for w in (which[:n], which[n:]) for m in (slice(None), mine)]
-            pairs, first, b = np.unique(_pair(before, word), return_index=True, return_counts=True)
-            many = b * 2 * hot >= n
-            first, b = first[many], b[many]
-            none = np.zeros(len(b), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(before[first].view(np.int64))]), pa.array(np.concatenate([both, word[first]]).view(np.int64)),
-                    *[pa.array(np.concatenate([x, y])) for x, y in zip(sums, (b, none, none, none), strict=True)],
-                ],
-                ["before", "word", *_COUNTS],
-            )
-
-    found = marked.mapInArrow(count, "before bigint, word bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    return stored(found.groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "counts")[0]
-
-
-def _fitting(groups: list[tuple[int, int]], room: int) -> tuple[list[int], int]:
-    """(names of the first groups that fit together, room left); groups are (name, size)."""
-    names = []
-    for name, n in groups:
-        if n > room:
-            break
-        names.append(name)
-        room -= n
-    return names, room
-
-
-def _most_frequent(counted: DataFrame, size: int) -> DataFrame:
-    """The `size` words that occur most, or somewhat fewer.
-
-    Whole steps of the logarithm of the counts are taken from the top; of the step that does
-    not fit whole, slices by hash. So no sort and no limit sends rows to the driver in vain.
-    """
-    counted = counted.withColumn("step", F.floor(F.log2(F.greatest("b", "cb") + 1) * _STEPS).cast("int")).withColumn("slice", F.pmod("word", F.lit(_SLICES)).cast("int"))
-    # at most 64 * _STEPS rows, then at most _SLICES rows
-    by_step = {r["step"]: r["count"] for r in counted.groupBy("step").count().collect()}
-    whole, room = _fitting(sorted(by_step.items(), reverse=True), size)
-    taken = F.col("step").isin(whole)
-    if rest := [s for s in by_step if s not in whole]:
-        edge = max(rest)
-        by_slice = {r["slice"]: r["count"] for r in counted.where(F.col("step") == edge).groupBy("slice").count().collect()}
-        taken = taken | ((F.col("step") == edge) & F.col("slice").isin(_fitting(sorted(by_slice.items()), room)[0]))
-    return counted.where(taken)
-
-
-def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each x in the sorted array `known`, or -1."""
-    if not len(known):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return np.where(known[at] == x, at, -1)
-
-
-class Known:
-    """What is broadcast: the head's words, the hot bigrams, and totals; counts are rows of (background, target)."""
-
-    def __init__(self, head, hot, totals: tuple[int, int], vocabulary: int):
-        order = np.argsort(np.asarray(head["word"]).view(np.uint64))
-        self.words = np.asarray(head["word"]).view(np.uint64)[order]
-        self.tokens, self.contexts = (np.stack([np.asarray(head[c])[order] for c in cs]) for cs in (("b", "t"), ("cb", "ct")))
-        self.pairs = np.sort(_pair(*(np.asarray(hot[c]).view(np.uint64) for c in ("before", "word"))))
-        self.pair_counts = np.zeros((2, len(self.pairs)), np.int64)
-        self.totals, self.vocabulary = totals, vocabulary
-
-    def losses(self, before: np.ndarray, word: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Losses by model of bigrams of the head (before, word: places in it) with these counts."""
-        out = np.empty((2, len(word)))
-        for m in (0, 1):
-            single = (self.tokens[m][word] + ADDED) / (self.totals[m] + ADDED * self.vocabulary)
-            out[m] = -np.log(BIGRAM_WEIGHT * pairs[m] / np.maximum(self.contexts[m][before], 1) + (1 - BIGRAM_WEIGHT) * single)
-        return out
-
-
-def _count_hot(marked: DataFrame, known: Known) -> None:
-    shared = marked.sparkSession.sparkContext.broadcast(known.pairs)
-
-    def count(batches):
-        pairs = shared.value
-        total = np.zeros((2, len(pairs)), np.int64)
-        for _, word, before, doc, target in _blocks(batches):
-            at = _among(pairs, _pair(before, word))
-            hit = at >= 0
-            total[0] += np.bincount(at[hit], minlength=len(pairs))
-            total[1] += np.bincount(at[hit & target[doc]], minlength=len(pairs))
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["at", "b", "t"])
-
-    got = marked.mapInArrow(count, "at bigint, b bigint, t bigint").groupBy("at").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()  # a row per hot bigram
-    known.pair_counts[:, np.asarray(got["at"])] = np.stack([np.asarray(got["b"]), np.asarray(got["t"])])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)
+
+
+def _names(word: np.ndarray, before: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Names of each token's word, context and bigram, and of the total."""
+    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    return [_named(x, bits) for x in (word * a, before * b + np.uint64(1), before * a + word * b + np.uint64(2), np.full(1, 3, np.uint64))]
+
+
+def _distinct(texts: pa.Table, bits: int):
+    """(names of a block's n-grams, sorted; for words, contexts, bigrams and the total the place among them; token rows)."""
+    word, before, rows = _tokens(*string_bytes(texts.column("text")))
+    names = _names(word, before, bits)
+    keys, place = np.unique(np.concatenate(names), return_inverse=True)
+    n = len(word)
+    return keys, (place[:n], place[n : 2 * n], place[2 * n : 3 * n], int(place[3 * n])), rows
 
 
 def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _packed(key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
-    step = np.diff(key, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(_planes(step) + _planes(doc.astype(np.uint16)) + _planes(times.astype(np.uint32)))
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // 14
-    out, at = [], 0
-    for width, kind in ((8, np.uint64), (2, np.uint16), (4, np.uint32)):
-        out.append(np.ascontiguousarray(raw[at * n : (at + width) * n].reshape(width, n).T).view(kind).ravel())
-        at += width
-    return np.cumsum(out[0], dtype=np.uint64), out[1], out[2]
-
-
-def _spread(shared, parts: int):
-    """Rows (part, block, blob, and lists): packed bigrams of a part and block; and per block one row with its documents,
-    what is known of them already, and their bigrams beyond the head."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        known = shared.value
-        block = TaskContext.get().partitionId() << 24
-        for ids, word, before, doc, target in _blocks(batches):
-            n_docs = len(ids)
-            at = _among(known.pairs, _pair(before, word))
-            hit = at >= 0
-            w, p = _among(known.words, word), _among(known.words, before)
-            hit &= (w >= 0) & (p >= 0)
-            loss = known.losses(p[hit], w[hit], known.pair_counts[:, at[hit]])
-            sums = [np.bincount(doc[hit], weights=x, minlength=n_docs).astype(np.float64) for x in loss]
-            tail = ~hit & ((w < 0) | (p < 0))
-            lists = [ids, pa.array(np.bincount(doc, minlength=n_docs)), pa.array(sums[1]), pa.array(sums[0])]
-            lists += [pa.array(x) for x in (doc[tail].astype(np.int32), before[tail].view(np.int64), word[tail].view(np.int64))] + [pa.array(target[doc[tail]])]
-            rest = ~hit & ~tail
-            key = p[rest].astype(np.uint64) * np.uint64(len(known.words)) + w[rest].astype(np.uint64)
-            part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            code = doc[rest] * 2 + target[doc[rest]]
-            order = np.lexsort((code, key, part))
-            part, key, code = part[order], key[order], code[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(key)))
-            part, key, code = part[first], key[first], code[first]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-            blobs = [_packed(key[a:b], code[a:b], times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            n = len(blobs)
-            columns = [pa.array(np.concatenate([part[cuts[:-1]] if n else np.zeros(0, np.int64), [block % parts]])), pa.array(np.full(n + 1, block)), pa.array([*blobs, None], pa.binary())]
-            for x in lists:
-                where = pa.array(np.concatenate([np.zeros(n + 1, np.int32), [len(x)]]).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(where, x))
-            for s in range(0, n + 1, 512):
-                yield pa.RecordBatch.from_arrays([c.slice(s, 512) for c in columns], _SPREAD)
-            block += 1
+def _packed(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(np.ascontiguousarray(x, np.uint64)) for x in columns))
 
-    return run
 
+def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw]
 
-_SPREAD = ["part", "block", "blob", "ids", "n", "lt", "lb", "tail_doc", "tail_before", "tail_word", "tail_target"]
-
-
-def _looked_up(shared, kind: pa.DataType):
-    """Rows (block, doc, id, n, lt, lb, before, word, target): losses of documents' bigrams of a part, and the lists as rows."""
-    schema = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("id", kind), ("n", pa.int64()), ("lt", pa.float64()), ("lb", pa.float64()), ("before", pa.int64()), ("word", pa.int64()), ("target", pa.bool_())])
-
-    def row_batch(size, /, **columns):
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-    def solved(known, blocks, blobs):
-        parts = [_unpacked(x) for x in blobs]
-        sizes = [len(x[0]) for x in parts]
-        key, code, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        distinct, which = np.unique(key, return_inverse=True)
-        counts = np.stack([np.bincount(which, weights=times, minlength=len(distinct)), np.bincount(which, weights=times * (code & 1), minlength=len(distinct))])
-        h = np.uint64(len(known.words))
-        loss = known.losses((distinct // h).astype(np.int64), (distinct % h).astype(np.int64), counts)
-        ends = np.cumsum(sizes)
-        for block, a, b in zip(blocks, ends - sizes, ends, strict=True):
-            doc = (code[a:b] >> 1).astype(np.int64)
-            lb, lt = (np.bincount(doc, weights=x[which[a:b]] * times[a:b]) for x in loss)
-            some = np.unique(doc)
-            yield row_batch(len(some), block=pa.array(np.full(len(some), block)), doc=pa.array(some.astype(np.int32)), n=pa.array(np.zeros(len(some), np.int64)), lt=pa.array(lt[some]), lb=pa.array(lb[some]))
-
-    def run(batches):
-        known, held, now = shared.value, ([], []), None
-        for batch in batches:
-            part, block, blob = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for i in range(batch.num_rows):
-                if not blob[i].is_valid:
-                    ids, n, lt, lb, doc, before, word, target = (batch.column(j)[i].values for j in range(3, 11))
-                    yield row_batch(len(ids), block=pa.array(np.full(len(ids), block[i])), doc=pa.array(np.arange(len(ids), dtype=np.int32)), id=ids, n=n, lt=lt, lb=lb)
-                    if len(doc):
-                        zero = pa.array(np.zeros(len(doc)))
-                        yield row_batch(len(doc), block=pa.array(np.full(len(doc), block[i])), doc=doc, n=pa.array(np.zeros(len(doc), np.int64)), lt=zero, lb=zero, before=before, word=word, target=target)
-                    continue
-                if part[i] != now and held[0]:
-                    yield from solved(known, *held)
-                    held = ([], [])
-                now = part[i]
-                held[0].append(block[i])
-                held[1].append(blob[i].as_py())
-        if held[0]:
-            yield from solved(known, *held)
 
-    return run
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
 
 
-def _beyond(rows: DataFrame, counted: DataFrame, totals: tuple[int, int], vocabulary: int) -> DataFrame:
-    """(block, doc, lt, lb) of the rows (block, doc, before, word, target) of bigrams with a word beyond the head."""
-    pairs = rows.groupBy("before", "word").agg(F.count("*").alias("pb"), F.count_if("target").alias("pt"))
-    tokens = counted.select("word", F.col("b").alias("wb"), F.col("t").alias("wt"))
-    contexts = counted.select(F.col("word").alias("before"), "cb", "ct")
-    pairs = spread_join(spread_join(pairs, tokens, "word"), contexts, "before")
+def _ask(bits: int, parts: int):
+    """A block's rows (part, block, blob): the names of its n-grams in a part, with its own counts in background and target."""
+    width = -(-(1 << bits) // parts)
 
-    def loss(pair: str, context: str, word: str, total: int) -> Column:
-        single = (F.col(word) + ADDED) / (total + ADDED * vocabulary)
-        return -F.log(BIGRAM_WEIGHT * F.col(pair) / F.greatest(F.col(context), F.lit(1)) + (1 - BIGRAM_WEIGHT) * single)
+    def run(texts: pa.Table) -> pa.Table:
+        keys, (word, context, pair, total), rows = _distinct(texts, bits)
+        mine = np.repeat(np.asarray(texts.column("target").to_numpy()).astype(bool), np.diff(rows))
+        counts = np.zeros((2, len(keys)), np.uint64)
+        for m, some in enumerate((slice(None), mine)):
+            for place in (word, context, pair):
+                counts[m] += np.bincount(place[some], minlength=len(keys)).astype(np.uint64)
+            counts[m, total] += np.uint64(len(word[some]))
+        part = (keys // np.uint64(width)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        step = np.diff(keys, prepend=np.uint64(0))
+        step[cuts[:-1]] = keys[cuts[:-1]]
+        blobs = [_packed(step[a:b], *counts[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        release()
+        return pa.table([pa.array(part[cuts[:-1]]), pa.array(np.full(len(blobs), texts.column("block")[0].as_py())), pa.array(blobs, pa.binary())], schema=_SENT)
+
+    return run
 
-    pairs = pairs.select("before", "word", loss("pt", "ct", "wt", totals[1]).alias("lt"), loss("pb", "cb", "wb", totals[0]).alias("lb"))
-    # a word beyond the head is in few rows, so these keys are not hot
-    return rows.select("block", "doc", "before", "word").join(pairs, ["before", "word"]).select("block", "doc", "lt", "lb")
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """To each blob of a part the corpus's counts of its n-grams."""
+    got = [_unpacked(x, 3) for x in asked.column("blob").to_pylist()]
+    ends = np.cumsum([len(x[0]) for x in got])
+    keys, which = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), return_inverse=True)
+    # sums of float64 are exact up to 2^53
+    sums = [np.bincount(which, weights=np.concatenate([x[m] for x in got]).astype(np.float64), minlength=len(keys)).astype(np.uint64) for m in (1, 2)]
+    blobs = [_packed(*[s[which[a:b]] for s in sums]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+    release()
+    return pa.table([asked.column("part"), asked.column("block"), pa.chunked_array([pa.array(blobs, pa.binary())])], schema=_SENT)
+
+
+_SCORED = "n_tokens bigint, loss_target double, loss_background double, score double"
+
+
+def _scored(bits: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        _, (word, context, pair, total), rows = _distinct(texts, bits)
+        order = np.argsort(np.asarray(answers.column("part")))
+        blobs = answers.column("blob").to_pylist()
+        counts = [np.concatenate(x).astype(np.float64) for x in zip(*[_unpacked(blobs[i], 2) for i in order], strict=True)]
+        corpus = counts[0][word] / max(counts[0][total], 1)
+        n = np.diff(rows)
+        loss = []
+        for c in counts:
+            single = (c[word] + PRIOR * corpus) / (c[total] + PRIOR)
+            each = -np.log(BIGRAM_WEIGHT * c[pair] / np.maximum(c[context], 1) + (1 - BIGRAM_WEIGHT) * single)
+            loss.append(sums_by_row(each, rows) / np.maximum(n, 1))
+        release()
+        return pa.table([texts.column("id"), pa.array(n), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])], names=["id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    return run
 
 
 def _marked(texts: DataFrame, target: DataFrame, broadcast_ids: int) -> DataFrame:
@@ -337,39 +160,21 @@ def _marked(texts: DataFrame, target: DataFrame, broadcast_ids: int) -> DataFram
     return found.unionByName(texts.where("id IS NULL").select("id", "text", F.lit(False).alias("target"))).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) per row of docs: mean losses in nats per token, score their difference.
 
     target holds, in a column of the same name, the ids of the target documents.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = _marked(texts, target.select(F.col(id_col).alias("id")), broadcast_ids)
-    counted = _counted(marked, hot)
-    vocabulary = counted.where("before IS NULL")
-    total = vocabulary.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.count_if(F.col("b") > 0).alias("v")).first()
-    totals, size = (total["b"] or 0, total["t"] or 0), total["v"]
-    top = _most_frequent(vocabulary, head).select("word", *_COUNTS).toArrow()  # at most `head` rows
-    often = counted.where(F.col("before").isNotNull() & (F.col("b") * 2 * hot >= totals[0])).select("before", "word").toArrow()  # at most 2 * hot rows
-    known = Known(top, often, totals, size)
-    _count_hot(marked, known)
-    shared = spark.sparkContext.broadcast(known)
-
-    kind = texts.schema["id"].dataType.simpleString()
-    parts = max(1, -(-totals[0] // PART_TOKENS))
-    lists = f"ids array<{kind}>, n array<bigint>, lt array<double>, lb array<double>, tail_doc array<int>, tail_before array<bigint>, tail_word array<bigint>, tail_target array<boolean>"
-    sent = marked.mapInArrow(_spread(shared, parts), f"part bigint, block bigint, blob binary, {lists}")
-    met = sent.repartition("part").sortWithinPartitions("part")
-    arrow = texts.limit(0).select("id").toArrow().schema.field(0).type
-    found, _ = stored(met.mapInArrow(_looked_up(shared, arrow), f"block bigint, doc int, id {kind}, n bigint, lt double, lb double, before bigint, word bigint, target boolean"), "losses")
-    losses = found.where("word IS NULL").select("block", "doc", "id", "n", "lt", "lb")
-    if len(top) < vocabulary.count():
-        beyond = _beyond(found.where("word IS NOT NULL").select("block", "doc", "before", "word", "target"), vocabulary, totals, size)
-        losses = losses.unionByName(beyond.select("block", "doc", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("bigint").alias("n"), "lt", "lb"))
-    sums = losses.groupBy("block", "doc").agg(F.max("id").alias("id"), F.sum("n").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("lt", "lb")])
-    per = F.greatest(F.col("n_tokens"), F.lit(1))
-    means = sums.select("id", "n_tokens", (F.col("lt") / per).alias("loss_target"), (F.col("lb") / per).alias("loss_background"))
-    return means.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
+    bits = min(64, max(1, int(size)).bit_length() + SPARE)
+    dealt = marked.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    sent = "part bigint, block bigint, blob binary"
+    asked = dealt.groupBy("block").applyInArrow(_ask(bits, parts), sent)
+    answers = asked.groupBy("part").applyInArrow(_answer, sent)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(bits), f"id {texts.dtypes[0][1]}, {_SCORED}")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
