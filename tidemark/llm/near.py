@@ -10,10 +10,12 @@ moves all shingles:
 2. The others send all their shingles, which are ordered by the number of these sets that have
    them, rarest first. Again similar sets share l shingles of their heads in that order.
 
-Candidates are verified by their whole sets. Large groups are linked by chains first (neighbours
-among sets of equal least hash); after that only heads' pairs of sets that are in different
-groups are candidates, so a group of m near copies costs about m pairs and not m^2. Nothing is
-sampled and no group is cut.
+Large groups are linked by chains first: neighbours among sets of equal least hash whose
+signatures of least hashes agree for the most part are verified by their whole sets, and linked.
+After that groups, not sets, are candidates: two of them are if their heads share as many
+shingles as two similar sets would. Of a pair of groups the smaller one's sets go to the larger one's,
+which all its pairs share, and are verified there. So a group of m near copies costs about m and not
+m^2. Nothing is sampled and no group is cut.
 
 Shingles are held as XXH64. Texts with fewer words than a shingle have one of all their words;
 null texts and texts without words are one set; an empty table gives an empty table; equal rows
@@ -42,9 +44,10 @@ LEAD = 0.1
 MAP_BITS = 1 << 27
 #: Sets of one shingle that are told apart in the order; above, shingles are ordered by hash.
 FREQUENT = 1 << 16
-#: Sets of one shingle that are compared in one task with each other, and with as many others.
-BLOCK = 1 << 14
-_CHAINS = 4
+#: Groups of one shingle that are paired in one task with each other or as many others; sets of a group that are in one task.
+BLOCK, GROUP = 1 << 14, 1 << 10
+#: Least hashes of a signature, and how many of them neighbours in a chain have to agree in: chains only save work.
+_CHAINS, _AGREED = 16, 9
 _GRAMS = 1 << 20
 
 _SHARED = "gram bigint, key bigint, df bigint"
@@ -240,65 +243,113 @@ def _shared(batches):
 
 
 def _neighbours(batches):
-    """Pairs (a, b) of sets that follow each other with the same least hash."""
+    """Pairs (a, b) of rows (which, least, key, signature) that follow each other with the same least hash and agree in most of the others."""
     last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         which, least, key = (np.asarray(batch.column(i)) for i in range(3))
+        got = which, least, key, np.asarray(batch.column(3).flatten()).reshape(batch.num_rows, -1)
         if last is not None:
-            which, least, key = (np.concatenate([[x], y]) for x, y in zip(last, (which, least, key), strict=True))
-        if len(key):
-            last = which[-1], least[-1], key[-1]
-        same = (which[1:] == which[:-1]) & (least[1:] == least[:-1])
+            got = tuple(np.concatenate([x, y]) for x, y in zip(last, got, strict=True))
+        last = tuple(x[-1:] for x in got)
+        which, least, key, signature = got
+        same = (which[1:] == which[:-1]) & (least[1:] == least[:-1]) & ((signature[1:] == signature[:-1]).sum(axis=1) >= _AGREED)
         a, b = key[:-1][same], key[1:][same]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _across(similarity: float):
-    """Pairs of different groups among rows (gram, low, high, block, root, key, n, lead), a group of (gram, low, high) at a time."""
+    """Pairs among rows (gram, low, high, block, root, lo, hi, lead) of groups of sets of lo to hi shingles, a group of (gram, low, high) at a time."""
 
-    def out(a, b, lead):
+    def out(found):
+        a, b, lead = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(lead)], ["a", "b", "lead"])
 
-    def pairs(block, root, key, n, lead):
+    def pairs(block, root, lo, hi, lead):
         side = block == block.min()
-        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(key)), None)
+        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(root)), None)
         for i in left.tolist():
-            j = np.arange(i + 1, len(key)) if right is None else right
-            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9)]
+            j = np.arange(i + 1, len(root)) if right is None else right
+            j = j[np.minimum(hi[j], hi[i]) >= similarity * np.maximum(lo[j], lo[i]) - 1e-9]
             if len(j):
-                yield np.full(len(j), key[i]), key[j], np.minimum(lead[j], lead[i])
+                yield np.full(len(j), root[i]), root[j], np.minimum(lead[j], lead[i])
 
-    def scan(batches):
-        def groups():
-            held = None
-            for batch in batches:
-                got = tuple(np.asarray(c) for c in batch.columns)
-                held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
-                if not len(held[0]):
-                    continue
-                new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
-                for s, e in zip([0, *new[:-1].tolist()], new.tolist(), strict=False):
-                    yield tuple(x[s:e] for x in held[3:])
-                if len(new):
-                    held = tuple(x[new[-1] :] for x in held)
-            if held is not None and len(held[0]):
-                yield tuple(x for x in held[3:])
+    def runs(batches):
+        held = None
+        for batch in batches:
+            got = tuple(np.asarray(c) for c in batch.columns)
+            held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
+            if not len(held[0]):
+                continue
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+            for s, e in zip([0, *new[:-1].tolist()], new.tolist(), strict=False):
+                yield tuple(x[s:e] for x in held[3:])
+            if len(new):
+                held = tuple(x[new[-1] :] for x in held)
+        if held is not None and len(held[0]):
+            yield held[3:]
 
+    def scan(batches):
         found, size = [], 0
-        for block, root, key, n, lead in groups():
-            for some in pairs(block, root, key, n, lead):
+        for run in runs(batches):
+            if len(run[0]) < 2:
+                continue
+            for some in pairs(*run):
                 found.append(some)
                 size += len(some[0])
                 if size > 1 << 18:
-                    yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    yield out(found)
                     found, size = [], 0
         if found:
-            yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield out(found)
+
+    return scan
+
+
+def _to_centres(similarity: float):
+    """Links (a, b) of rows (centre, part, other, key, n, grams), sorted by the first three: of each set of another group one to a set of the centre, if it has any."""
+
+    class Index:
+        def __init__(self, key, n, grams):
+            self.key, self.n = key, n
+            flat = np.concatenate(grams)
+            owner = np.repeat(np.arange(len(key)), [len(x) for x in grams])
+            order = np.argsort(flat, kind="stable")
+            self.owner = owner[order]
+            self.grams, self.starts, self.many = np.unique(flat[order], return_index=True, return_counts=True)
+
+        def find(self, n, grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            at = at[self.grams[at] == grams]
+            both = np.bincount(self.owner[_ranges(self.starts[at], self.many[at])], minlength=len(self.key))
+            near = np.flatnonzero(both >= (self.n + n - both) * similarity - 1e-9)
+            return self.key[near[0]] if len(near) else None
+
+    def scan(batches):
+        now, own, index = None, [], None
+        for batch in batches:
+            centre, part, other, key, n = (batch.column(i).to_pylist() for i in range(5))
+            where, flat = np.asarray(batch.column(5).offsets), np.asarray(batch.column(5).values)
+            a, b = [], []
+            for i in range(batch.num_rows):
+                grams = flat[where[i] : where[i + 1]]
+                if (centre[i], part[i]) != now:
+                    now, own, index = (centre[i], part[i]), [], None
+                if not other[i]:
+                    own.append((key[i], n[i], grams.copy()))
+                    continue
+                if index is None and own:
+                    index = Index(*(np.array(x) if j < 2 else x for j, x in enumerate(zip(*own, strict=True))))
+                if own and (found := index.find(n[i], grams)) is not None:
+                    a.append(key[i])
+                    b.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return scan
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(id, component_id): component_id is the smallest id that pairs of `similarity` or more reach. docs is read twice."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks, _ = stored(_heads(texts, k, similarity), "heads")
@@ -323,21 +374,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(first, "a").join(second, "b").where(both >= (F.col("n") + F.col("m") - both) * F.lit(similarity) - 1e-9).select("a", "b")
 
-    hashed = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.array_min(F.transform("grams", lambda g, i=i: F.xxhash64(g, F.lit(i)))).alias("least")) for i in range(_CHAINS)]))
-    chain = kept.select("key", "n", hashed.alias("h")).select("h.which", "h.least", "key", "n")
-    chain = chain.repartitionByRange("which", "least", "n", "key").sortWithinPartitions("which", "least", "n", "key").select("which", "least", "key")
+    signature = F.array(*[F.array_min(F.transform("grams", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(_CHAINS)])
+    chain = kept.select("key", "n", signature.alias("signature")).select("key", "n", "signature", F.posexplode("signature").alias("which", "least"))
+    chain = chain.repartitionByRange("which", "least", "n", "key").sortWithinPartitions("which", "least", "n", "key").select("which", "least", "key", "signature")
     chained, _ = stored(verified(chain.mapInArrow(_neighbours, "a bigint, b bigint").distinct()), "chained")
-    groups = components(chained)
-
-    heads = kept.select("key", "n", "lead", F.explode(F.slice("grams", F.lit(1), F.col("head"))).alias("gram"))
-    heads, _ = stored(heads.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "grouped")
-    mixed = heads.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    dealt = heads.join(mixed.select("gram", F.ceil(F.col("many") / block).cast("int").alias("blocks")), "gram")
-    dealt = dealt.withColumn("block", F.pmod("key", F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "key", "n", "lead")
+    roots = components(chained).select(F.col("node").alias("key"), "root")
+
+    members, _ = stored(kept.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
+    groups, _ = stored(members.groupBy("root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("lead").alias("lead"), F.count("*").alias("size")), "groups")
+    heads = members.select("root", F.explode(F.slice("grams", F.lit(1), F.col("head"))).alias("gram")).distinct()
+    several = heads.groupBy("gram").count().where("count > 1").select("gram", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = heads.join(several, "gram").join(groups, "root")
+    dealt = dealt.withColumn("block", F.pmod("root", F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "lo", "hi", "lead")
     dealt = dealt.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
     pairs = dealt.mapInArrow(_across(similarity), "a bigint, b bigint, lead bigint").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("lead").alias("lead")).where("times >= lead")
-    found = components(chained.unionByName(verified(pairs)))
+
+    size = lambda x: groups.select(F.col("root").alias(x), F.struct("size", "root").alias(f"of_{x}"))
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").select(F.greatest("of_a", "of_b").alias("large"), F.least("of_a", "of_b").alias("small"))
+    pairs, _ = stored(pairs.select(F.col("large.root").alias("centre"), F.ceil(F.col("large.size") / group).cast("int").alias("parts"), F.col("small.root").alias("root")), "pairs")
+    centres = pairs.select("centre", "parts").distinct()
+    own = members.join(centres, F.col("root") == F.col("centre")).select("centre", F.pmod("key", F.col("parts")).cast("int").alias("part"), F.lit(False).alias("other"), "key", "n", "grams")
+    others = members.join(pairs, "root").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("other"), "key", "n", "grams")
+    gathered = own.unionByName(others).repartition("centre", "part").sortWithinPartitions("centre", "part", "other")
+    found = components(chained.unionByName(gathered.mapInArrow(_to_centres(similarity), "a bigint, b bigint")))
 
     named = marks.groupBy("key").agg(F.min("id").alias("least")).join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
