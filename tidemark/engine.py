@@ -10,9 +10,17 @@ A change is a signed bag of rows. For every view on a changed source the signed
 rows is derived by substituting each occurrence of a changed relation in turn (occurrences
 before it at their new state, those after it at their old), merged into the view's state, and
 handed to the views above as its own signed change. Where a query is not linear in a changed
-relation, its rows before and after are compared as bags instead.
+relation, its rows before and after are compared as bags instead: of an outer join by equal
+columns those rows alone whose keys occur in the change, else all.
 
-New states are written whole before any view points at them; a failed view keeps its old one.
+Rows of sources and of views without aggregates are a base and layers of changes, states of
+aggregates likewise; a flush writes its own change. New tables are written whole before anything
+points at them; a failed deferred view keeps its old state and is rebuilt by the next flush.
+Tables that nothing has pointed at for KEPT changes are deleted, so rows that were read before
+that many changes can't be evaluated any more.
+
+Sums of DOUBLE columns are kept by adding and subtracting, so after deletes they can differ from
+a recompute in the last digits; DECIMAL sums are exact.
 """
 
 from __future__ import annotations
@@ -30,22 +38,30 @@ from pyspark.sql import functions as F
 from .operators import state as states
 from .plans import aggregate, analyze, decompose, sqltext
 from .plans.analyze import Relation, ViewError
-from .sources.changes import Delta, from_log, net, patched, union
-from .sources.storage import Store
+from .sources.changes import Bag, Delta, from_log, net, patched, union
+from .sources.storage import Store, path_of
 
 TOPK = 16
+#: Changes after which a replaced table is deleted.
+KEPT = 2
 _HISTORY = 64
+_REGISTRY = "registry.json"
 
 
 @dataclass
 class Source:
     name: str
-    data: DataFrame
+    bag: Bag
     key: list[str] | None = None
     track: bool = True
     pending: Delta = field(default_factory=Delta)
     batches: int = 0
     applied: set = field(default_factory=set)
+    kept: list[set[str]] = field(default_factory=list)
+
+    @property
+    def data(self) -> DataFrame:
+        return self.bag.rows()
 
 
 @dataclass
@@ -65,7 +81,9 @@ class View:
     children: list[str] = field(default_factory=list)  # sub-views it was decomposed into
     state: DataFrame | None = None
     layers: states.Layers = ()  # what an additive state is summed from
-    enabled: bool = True
+    bag: Bag | None = None  # the rows of a view without aggregates
+    stale: bool = False  # to be rebuilt by the next flush
+    kept: list[set[str]] = field(default_factory=list)
     flushes: int = 0
     last_rows: int | None = None
     last_ms: float | None = None
@@ -82,6 +100,9 @@ class Engine:
         self.sources: dict[str, Source] = {}
         self.views: dict[str, View] = {}
         self.warnings: list[str] = []
+        self.statements: dict[str, dict] = {}
+        self._saved: dict[str, dict] = {}
+        self._lock = threading.RLock()  # one change at a time
 
     # sources
 
@@ -89,7 +110,7 @@ class Engine:
         """A table that queries can name. key: columns that are unique, used to find deleted rows."""
         if name.lower() in self.views:
             raise ViewError(f"{name} is a view")
-        self.sources[name.lower()] = Source(name, data, key, track)
+        self.sources[name.lower()] = Source(name, Bag(data, key), key, track)
 
     def compact(self, name: str) -> None:
         """Write a source's current rows, so that its plan does not grow with each change, or make a view's layers one."""
@@ -99,9 +120,23 @@ class Engine:
                 if len(view.layers) > 1:
                     view.state = self.store.write(view.name, view.state)
                     view.layers = states.base(view.state)
+                elif view.bag and view.bag.layers:
+                    view.bag = Bag(self.store.write(view.name, view.bag.rows()), view.key)
+                self._written(view)
             return
         source = self._source(name)
-        source.data = self.store.write(f"sources/{source.name}", source.data)
+        source.bag = Bag(self.store.write(f"sources/{source.name}", source.data), source.key)
+        self._written(source)
+
+    def _written(self, owner: Source | View) -> None:
+        """Note which tables an owner stands on, and delete those that it has not stood on for a while."""
+        frames = owner.bag.frames() if owner.bag else [owner.state, *[x for _, x in owner.layers]]
+        now = {p for p in map(path_of, frames) if p} | self.store.new.pop(owner.name if isinstance(owner, View) else f"sources/{owner.name}", set())
+        if not owner.kept or owner.kept[-1] != now:
+            owner.kept.append(now)
+        while len(owner.kept) > KEPT + 1:
+            for path in owner.kept.pop(0) - set().union(*owner.kept):
+                self.store.delete(path)
 
     def drop_source(self, name: str) -> list[str]:
         """Drop a source and, with it, every view that depends on it."""
@@ -162,7 +197,7 @@ class Engine:
         view = self._view(name)
         if view.kind == "reading":
             return self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
-        return view.state if view.kind == "rows" else states.read(view.plan, view.state, view.schema)
+        return view.bag.rows() if view.kind == "rows" else states.read(view.plan, view.state, view.schema)
 
     # creation
 
@@ -185,14 +220,63 @@ class Engine:
             raise ViewError(f"parse error: {str(e).splitlines()[0]}") from None
         analyze.reject(sql)
         made: list[str] = []
-        try:
-            self._create(name, sql, unique_columns, storage.upper(), mode.upper(), max(topk, 1), made)
-        except Exception:
-            for x in reversed(made):
-                self._forget(self.views[x.lower()])
-            raise
+        with self._lock:
+            try:
+                self._create(name, sql, unique_columns, storage.upper(), mode.upper(), max(topk, 1), made)
+            except Exception:
+                for x in reversed(made):
+                    self._forget(self.views[x.lower()])
+                raise
+            self.statements[name.lower()] = {"name": name, "sql": sql, "unique_columns": unique_columns, "storage": storage, "mode": mode, "topk": topk}
+            self._save()
         return f"CREATED {name}"
 
+    def _save(self) -> None:
+        """In a folder of the user's, write down the statements, and which tables LOGGED views stand on."""
+        if not self.store.durable:
+            return
+        frame = lambda df: path_of(df) if df is not None else None
+        tables = {}
+        for key, view in self.views.items():
+            waits = view.stale or any(self.sources[n].pending for n in self._below(view) if n in self.sources)
+            if view.storage == "LOGGED" and view.kind != "reading" and not waits:
+                if view.bag:
+                    tables[key] = {"base": frame(view.bag.base), "layers": [[level, frame(d.minus), frame(d.plus)] for level, d in view.bag.layers]}
+                else:
+                    tables[key] = {"state": frame(view.state), "layers": [[level, frame(x)] for level, x in view.layers]}
+        self.store.save_json(_REGISTRY, {"statements": list(self.statements.values()), "tables": tables})
+
+    def restore(self) -> list[str]:
+        """Create the views that were written down in this folder again, once the sources are registered.
+
+        LOGGED views stand on their tables as they were; others, and those with changes that were queued, are filled afresh.
+        """
+        saved = self.store.load_json(_REGISTRY)
+        if saved is None:
+            return []
+        with self._lock:
+            self._saved = saved["tables"]
+            try:
+                for statement in saved["statements"]:
+                    self.create_view(**statement)
+            finally:
+                self._saved = {}
+            self._save()
+        return [x["name"] for x in saved["statements"]]
+
+    def _loaded(self, view: View) -> bool:
+        known = self._saved.get(view.name.lower())
+        if known is None or view.storage != "LOGGED":
+            return False
+        read = lambda path: self.store.read(path) if path else None
+        if view.kind == "rows":
+            view.bag = Bag(read(known["base"]), view.key, tuple((level, Delta(read(a), read(b))) for level, a, b in known["layers"]))
+        else:
+            view.layers = tuple((level, read(path)) for level, path in known["layers"])
+            view.state = states.stacked(view.plan, view.layers) if len(view.layers) > 1 else read(known["state"])
+        self._written(view)
+        return True
+
     def _create(self, name, sql, unique, storage, mode, topk, made) -> View:
         make = lambda suffix, text: self._create(f"{name}__{suffix}", text, None, storage, mode, topk, made)
         if parts := decompose.with_clause(sql):
@@ -215,11 +299,17 @@ class Engine:
             return self._reading(name, text, storage, mode, topk, [c.name for c in children], made)
         select = sqltext.select_of(sql)
         names = self._names(sql, select)
-        for decomposed in (decompose.distinct_on(select, names), decompose.windows(select, names)):
+        for decomposed in (decompose.distinct_on(select, names), decompose.windows(select, names, lambda e: analyze.columns_of(self.spark, e))):
             if decomposed:
                 base, over = decomposed
                 child = make("base", base)
                 return self._reading(name, over.replace("{base}", f"`{child.name}`"), storage, mode, topk, [child.name], made)
+        if decomposed := decompose.distinct_groups(select, names):
+            base, over = decomposed
+            child = make("base", base)
+            view = self._create(name, over.replace("{base}", f"`{child.name}`"), unique, storage, mode, topk, made)
+            view.children.append(child.name)
+            return view
         found = analyze.relations(self.spark, sql)
         if any(self._grouped_subquery(i) for i in [select.source]):
             raise ViewError("a FROM subquery with GROUP BY is not supported; use a CTE")
@@ -309,12 +399,17 @@ class Engine:
         return None
 
     def _fill(self, view: View) -> None:
-        if view.kind == "reading":
+        if view.kind == "reading" or self._loaded(view):
             return
         rows = self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
-        view.state = self.store.write(view.name, states.build(view.plan, rows, view.topk) if view.plan else rows)
-        view.layers = states.base(view.state) if view.plan and not view.plan.heaps else ()
+        if view.plan:
+            view.state = self.store.write(view.name, states.build(view.plan, rows, view.topk))
+            view.layers = states.base(view.state) if not view.plan.heaps else ()
+        else:
+            view.bag = Bag(self.store.write(view.name, rows), view.key)
+        view.stale, view.last_error = False, None
         view.refreshed = time.time()
+        self._written(view)
 
     # changes
 
@@ -324,8 +419,8 @@ class Engine:
         for frame in (inserts, deletes, *(updates or ())):
             if frame is not None:
                 self._check_schema(own, frame)
-        columns = own.data.columns
-        pick = lambda x: x.select(columns) if x is not None else None
+        fields = own.data.schema.fields
+        pick = lambda x: x.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]) if x is not None else None
         delta = Delta(pick(deletes), pick(inserts))
         if updates:
             delta = delta.then(Delta(pick(updates[0]), pick(updates[1])))
@@ -344,7 +439,21 @@ class Engine:
             own.applied.add(batch_id)
         return True
 
+    def _stored_rows(self, source: Source, delta: Delta) -> Delta:
+        """With a key, the rows that leave are those stored under the given keys, whatever else the given rows say."""
+        if not source.key or delta.minus is None:
+            return delta
+        keys = self.store.write("keys", delta.minus.select(*[F.col(k).alias(f"__gone_{k}") for k in source.key]).distinct())
+        same = [F.col(k).eqNullSafe(F.col(f"__gone_{k}")) for k in source.key]
+        found = self.store.write("gone", source.data.join(keys, same, "left_semi"))
+        wanted = keys.count()
+        self.store.delete(path_of(keys))
+        if found.count() < wanted:
+            raise ViewError(f"a change deletes rows of {source.name} that are not there")
+        return Delta(found, delta.plus)
+
     def _check_schema(self, source: Source, frame: DataFrame) -> None:
+        """Under 'warn' new columns are left out and other types are cast; a missing column, or any change under 'error', is refused."""
         have, want = {f.name: f.dataType for f in frame.schema}, {f.name: f.dataType for f in source.data.schema}
         if have != want:
             message = f"the columns of {source.name} have changed: rebuild the views on it"
@@ -354,7 +463,12 @@ class Engine:
 
     def change(self, deltas: dict[str, Delta]) -> None:
         """Change several sources at once."""
-        deltas = {n: d for n, d in deltas.items() if d and not self._nothing(d)}
+        with self._lock:
+            self._change(deltas)
+            self._save()
+
+    def _change(self, deltas: dict[str, Delta]) -> None:
+        deltas = {n: self._stored_rows(self.sources[n], d) for n, d in deltas.items() if d and not self._nothing(d)}
         if not deltas:
             return
         old = {n: self.sources[n].data for n in deltas}
@@ -363,19 +477,24 @@ class Engine:
         for v in sorted(self.views.values(), key=lambda v: v.depth):
             if any(d in queued for d in v.depends_on):
                 queued.add(v.name.lower())
-        before = {n: (self.sources[n].data, self.sources[n].pending) for n in deltas}
+        before = {n: (self.sources[n].bag, self.sources[n].pending) for n in deltas}
         for n, d in deltas.items():
             source = self.sources[n]
-            source.data = patched(source.data, d, source.key)
+            source.bag, d = source.bag.changed(d, lambda df, s=source: self.store.write(f"sources/{s.name}", df))
+            deltas[n] = d
             source.batches += 1
             if queued and any(n in self._below(self.views[v]) for v in queued):
                 source.pending = source.pending.then(d)
         try:
             self._propagate(deltas, old, lambda v: v.name.lower() not in queued, isolate=False)
         except Exception:  # all or nothing
-            for n, (data, pending) in before.items():
-                self.sources[n].data, self.sources[n].pending = data, pending
+            for n, (bag, pending) in before.items():
+                self.sources[n].bag, self.sources[n].pending = bag, pending
             raise
+        for n in deltas:
+            # queued changes are read until they are flushed
+            if not self.sources[n].pending:
+                self._written(self.sources[n])
 
     @staticmethod
     def _nothing(delta: Delta) -> bool:
@@ -383,6 +502,12 @@ class Engine:
 
     def flush(self, source: str | None = None) -> str:
         """Bring deferred views up to date with what was queued, as one net change. A view that fails keeps its state and its error."""
+        with self._lock:
+            out = self._flush(source)
+            self._save()
+        return out
+
+    def _flush(self, source: str | None) -> str:
         if source is not None:
             self._source(source)
         waiting = {v.name.lower() for v in self.views.values() if v.mode == "DEFERRED"}
@@ -392,47 +517,86 @@ class Engine:
         deltas = {n: net(self.sources[n].pending) for n in names}
         # what is not flushed now stays at its state before
         others = {n: s.pending for n, s in self.sources.items() if s.pending and n not in names}
-        if not deltas:
-            return "FLUSHED 0 VIEWS"
         back = lambda n, d: patched(self.sources[n].data, Delta(d.plus, d.minus), self.sources[n].key)
-        now = {n: s.data for n, s in self.sources.items()}
+        if not deltas:
+            return f"FLUSHED {self._rebuilt({n: back(n, d) for n, d in others.items()})} VIEWS"
+        now = {n: s.bag for n, s in self.sources.items()}
         old = {n: back(n, d) for n, d in deltas.items()}
         held = {n: back(n, d) for n, d in others.items()}
         for v in sorted(self.views.values(), key=lambda v: v.depth):
             if any(d in waiting for d in v.depends_on):
                 waiting.add(v.name.lower())
         for n, frame in held.items():
-            self.sources[n].data = frame
+            self.sources[n].bag = Bag(frame, self.sources[n].key)
         try:
+            late = self._rebuilt(old)
             done = self._propagate(deltas, old, lambda v: v.name.lower() in waiting, isolate=True)
         finally:
             for n in held:
-                self.sources[n].data = now[n]
+                self.sources[n].bag = now[n]
         for n in names:
             self.sources[n].pending = Delta()
-        return f"FLUSHED {done} VIEWS"
+        return f"FLUSHED {done + late} VIEWS"
+
+    def _rebuilt(self, old: dict[str, DataFrame]) -> int:
+        """Rebuild views that failed before, at the sources' state before what is flushed now; their number."""
+        stale = [v for v in sorted(self.views.values(), key=lambda v: v.depth) if v.stale]
+        bags = {n: self.sources[n].bag for n in old}
+        for n, frame in old.items():
+            self.sources[n].bag = Bag(frame, self.sources[n].key)
+        done = 0
+        try:
+            for view in stale:
+                try:
+                    self._fill(view)
+                    done += 1
+                except Exception as e:
+                    view.stale, view.last_error = True, str(e).splitlines()[0]
+                    self.warnings.append(f"{view.name}: {view.last_error}")
+        finally:
+            for n, bag in bags.items():
+                self.sources[n].bag = bag
+        return done
 
     def _propagate(self, deltas: dict[str, Delta], old: dict[str, DataFrame], wanted: Callable[[View], bool], isolate: bool) -> int:
         """One pass over the views in order of depth; each finds all its relations' changes and old states."""
-        deltas, old, done = dict(deltas), dict(old), 0
-        previous: list[tuple[View, DataFrame, states.Layers]] = []
+        base, deltas, old, done = set(deltas), dict(deltas), dict(old), 0
+        previous: list[tuple] = []
+        afresh: set[str] = set()
         for view in sorted(self.views.values(), key=lambda v: v.depth):
-            if not view.enabled or not wanted(view) or not any(d in deltas for d in view.depends_on):
+            if any(d in self.views and self.views[d].stale for d in view.depends_on):
+                view.stale = True  # rebuilt after what it stands on
+            if view.stale or not wanted(view):
+                continue
+            # what it stands on has changed before this pass, or can't say what it was: its rows are evaluated anew
+            if any(d in afresh or d in self.views and not wanted(self.views[d]) and base & self._below(self.views[d]) for d in view.depends_on):
+                afresh.add(view.name.lower())
+            if view.name.lower() not in afresh and not any(d in deltas for d in view.depends_on):
                 continue
             with view.lock:
                 began = time.time()
-                previous.append((view, view.state, view.layers))
+                previous.append((view, view.state, view.layers, view.bag))
                 try:
-                    before = self._read_at(view, old)
-                    emitted = self._refresh(view, deltas, old, before)
+                    if view.name.lower() in afresh:
+                        before = self.read(view.name) if view.kind != "reading" else None
+                        self._fill(view)
+                        emitted = None
+                        if before is not None and self._needed(view):
+                            after = self.read(view.name)
+                            emitted = Delta(before.exceptAll(after), after.exceptAll(before))
+                            afresh.discard(view.name.lower())
+                    else:
+                        before = self._read_at(view, old)
+                        emitted = self._refresh(view, deltas, old, before)
                     view.last_error = None
                 except Exception as e:
                     view.last_error = str(e).splitlines()[0]
                     if not isolate:
-                        for v, state, layers in previous:
-                            v.state, v.layers = state, layers
+                        for v, state, layers, bag in previous:
+                            v.state, v.layers, v.bag = state, layers, bag
                         raise
-                    _, view.state, view.layers = previous.pop()
+                    _, view.state, view.layers, view.bag = previous.pop()
+                    view.stale = True
                     self.warnings.append(f"{view.name}: {view.last_error}")
                     continue
                 done += 1
@@ -442,12 +606,15 @@ class Engine:
                 view.refreshed = time.time()
                 if emitted:
                     deltas[view.name.lower()], old[view.name.lower()] = emitted, before
+        for view, *_ in previous:
+            if view.kind != "reading":
+                self._written(view)
         return done
 
     def _read_at(self, view: View, old: dict[str, DataFrame]) -> DataFrame:
         """A view as it was before this pass."""
         if view.kind != "reading":
-            return view.state if view.kind == "rows" else states.read(view.plan, view.state, view.schema)
+            return view.bag.rows() if view.kind == "rows" else states.read(view.plan, view.state, view.schema)
         frames = [old.get(r.name.lower()) for r in view.relations]
         return self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) if f is None else f for r, f in zip(view.relations, frames, strict=True)])
 
@@ -464,14 +631,20 @@ class Engine:
         change = self.delta_of(view, deltas, old)
         if not change:
             return Delta()
-        if view.kind == "rows":
-            view.state = self.store.write(view.name, patched(view.state, change, view.key))
-            return net(change) if self._needed(view) else Delta()
         keep = lambda df: self.store.write(view.name, df)
+        if view.kind == "rows":
+            bag, written = view.bag.changed(change, keep)
+            view.last_rows = sum(x.count() for x in (written.minus, written.plus) if x is not None)
+            if not view.last_rows:
+                return Delta()
+            view.bag = bag
+            return net(written) if self._needed(view) else Delta()
         if view.layers:
             previous = view.layers
-            view.layers, touched = states.append(view.plan, previous, change, keep)
-            view.state = states.stacked(view.plan, view.layers)
+            view.layers, touched, view.last_rows = states.append(view.plan, previous, change, keep)
+            if not view.last_rows:
+                return Delta()
+            view.state = view.layers[0][1] if len(view.layers) == 1 else states.stacked(view.plan, view.layers)
             if not self._needed(view):
                 return Delta()
             was, is_ = (states.read_layers(view.plan, x, view.schema, touched) for x in (previous, view.layers))
@@ -489,8 +662,8 @@ class Engine:
         changed = [i for i, r in enumerate(view.relations) if r.name.lower() in deltas]
         frame = lambda i, is_new: self._current(view.relations[i].name.lower()) if is_new or i not in changed else old[view.relations[i].name.lower()]
         if not all(view.relations[i].linear for i in changed):
-            was = self._evaluate(view.sql, view.relations, [frame(i, False) for i in range(len(view.relations))])
-            is_ = self._evaluate(view.sql, view.relations, [frame(i, True) for i in range(len(view.relations))])
+            near = self._near(view, changed, deltas)
+            was, is_ = (self._evaluate(view.sql, view.relations, [near(i, frame(i, is_new)) for i in range(len(view.relations))]) for is_new in (False, True))
             return Delta(was.exceptAll(is_), is_.exceptAll(was))
         out = Delta()
         for i in changed:
@@ -502,6 +675,21 @@ class Engine:
                 setattr(out, side, union(getattr(out, side), rows))
         return net(out) if len(changed) > 1 else out
 
+    def _near(self, view: View, changed: list[int], deltas: dict[str, Delta]) -> Callable[[int, DataFrame], DataFrame]:
+        """What of a relation's rows a comparison has to see: all, or where one relation changed that is joined outer
+        by equal columns, those rows of both relations alone whose keys occur in the change."""
+        aliases = [r.alias for r in view.relations]
+        if len(changed) != 1 or len(set(aliases)) < len(aliases):
+            return lambda i, rows: rows
+        own, delta = aliases[changed[0]], deltas[view.relations[changed[0]].name.lower()]
+        for sides in analyze.outer_equalities(self.spark, view.sql):
+            for (alias, column), (other, key) in (sides, sides[::-1]):
+                if alias == own and other in aliases and other != own:
+                    keys = union(*[x.select(F.col(f"`{column}`").alias("__key")) if x is not None else None for x in (delta.minus, delta.plus)]).distinct()
+                    by = {changed[0]: column, aliases.index(other): key}
+                    return lambda i, rows: rows.join(keys, rows[by[i]].eqNullSafe(keys["__key"]), "left_semi") if i in by else rows
+        return lambda i, rows: rows
+
     # lifecycle
 
     def drop_view(self, name: str, cascade: bool = False) -> str:
@@ -513,31 +701,48 @@ class Engine:
             if child.lower() in self.views:
                 self.drop_view(child, cascade=True)
         self._forget(view)
+        self.statements.pop(name.lower(), None)
         for child in reversed(view.children):
             if child.lower() in self.views and not any(child.lower() in v.depends_on for v in self.views.values()):
                 self.drop_view(child, cascade=True)
+        self._save()
         return f"DROPPED {name}"
 
     def _forget(self, view: View) -> None:
         self.views.pop(view.name.lower(), None)
+        for path in set().union(*view.kept):
+            self.store.delete(path)
 
     def reconcile(self, name: str) -> str:
-        """Rebuild a view, and the sub-views it stands on, from the sources."""
+        """Rebuild a view with the sub-views it stands on from the sources, and the views above it in order of depth."""
         view = self._view(name)
-        for child in view.children:
-            self.reconcile(child)
-        with view.lock:
-            self._fill(view)
-            view.last_error = None
+        with self._lock:
+            self._settle(view.name.lower())
+            below = {name.lower()}
+            while more := {c.lower() for n in below if n in self.views for c in self.views[n].children} - below:
+                below |= more
+            for v in sorted(self.views.values(), key=lambda v: v.depth):
+                if v.name.lower() in below or below & self._below(v):
+                    with v.lock:
+                        self._fill(v)
+            self._save()
         return "RECONCILED"
 
+    def _settle(self, name: str) -> None:
+        """Flush what is queued below a view or source, so that a rebuild does not count it twice."""
+        if any(s.pending and (n == name or name in self.views and n in self._below(self.views[name])) for n, s in self.sources.items()):
+            self._flush(None)
+
     def refresh_depending_on(self, source: str, data: DataFrame | None = None) -> str:
         """Rebuild every view on a source, in order of depth; data replaces a static source's rows."""
-        if data is not None:
-            self._source(source).data = data
-        views = sorted((v for v in self.views.values() if source.lower() in self._below(v)), key=lambda v: v.depth)
-        for view in views:
-            self._fill(view)
+        with self._lock:
+            self._settle(source.lower())
+            if data is not None:
+                self._source(source).bag = Bag(data, self._source(source).key)
+            views = sorted((v for v in self.views.values() if source.lower() in self._below(v)), key=lambda v: v.depth)
+            for view in views:
+                self._fill(view)
+            self._save()
         return f"REFRESHED {len(views)} VIEWS"
 
     def scheduled_reconcile(self, max_age_minutes: float = 60) -> DataFrame:
@@ -546,7 +751,7 @@ class Engine:
             if time.time() - view.refreshed >= max_age_minutes * 60 and view.kind != "reading":
                 began = time.time()
                 try:
-                    self._fill(view)
+                    self.reconcile(view.name)
                     status = "RECONCILED"
                 except Exception as e:
                     status = f"ERROR: {str(e).splitlines()[0]}"

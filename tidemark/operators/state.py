@@ -14,6 +14,8 @@ values left is rebuilt from the source, for those groups alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,12 +122,15 @@ def stacked(plan: Plan, layers: Layers, touched: DataFrame | None = None) -> Dat
     return rows if len(layers) == 1 and layers[0][0] == _BASE else _summed(plan, rows).where(F.col(COUNT) != 0)
 
 
-def append(plan: Plan, layers: Layers, delta: Delta, keep: Callable[[DataFrame], DataFrame]) -> tuple[Layers, DataFrame]:
-    """(layers with the change, keys it touches). The state is read for deletes only, and of the touched groups only."""
+def append(plan: Plan, layers: Layers, delta: Delta, keep: Callable[[DataFrame], DataFrame]) -> tuple[Layers, DataFrame, int]:
+    """(layers with the change, keys it touches, their number). The state is read for deletes only, and of the touched groups only."""
     schema = layers[0][1].schema
     parts = [p for p in (_partial(plan, _rows(plan, rows) if rows is not None else None, sign, 1) for sign, rows in ((-1, delta.minus), (1, delta.plus))) if p is not None]
     change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     change = keep(change.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
+    n = change.count()
+    if not n:  # no changed row reaches the view
+        return layers, change.select(*_keys(plan)), 0
     layers, touched = (*layers, (0, change)), change.select(*_keys(plan))
     if delta.minus is not None and not stacked(plan, layers, touched).where(f"{COUNT} < 0").isEmpty():
         raise ViewError("a change deletes rows that are not there")
@@ -133,7 +138,7 @@ def append(plan: Plan, layers: Layers, delta: Delta, keep: Callable[[DataFrame],
         layers = (*[x for x in layers if x[0] > 0], (1, keep(_summed(plan, _together(tuple(x for x in layers if x[0] == 0))))))
     if sum(level == 1 for level, _ in layers) >= FANOUT:
         layers = base(keep(stacked(plan, layers)))
-    return layers, touched
+    return layers, touched, n
 
 
 def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +148,8 @@ def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Calla
     change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     change = keep(change)
     touched = change.select(*keys).distinct()
+    if change.isEmpty():  # no changed row reaches the view
+        return state, touched
     old = state
     for c in plan.heaps:
         empty = F.lit(None).cast(state.schema[c].dataType)
@@ -179,7 +186,7 @@ def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Calla
 
 def read_layers(plan: Plan, layers: Layers, schema, touched: DataFrame) -> DataFrame:
     """The answer of the touched groups; groups of COUNT(DISTINCT) are looked up without the counted value."""
-    columns = plan.keys[:-1] if plan.pair else _keys(plan)
+    columns = plan.keys[: -plan.pair] if plan.pair else _keys(plan)
     return read(plan, stacked(plan, layers, touched.select(*columns).distinct() if columns else None), schema)
 
 
@@ -189,11 +196,13 @@ def read(plan: Plan, state: DataFrame, schema, touched: DataFrame | None = None)
     if touched is not None and plan.keys and not plan.pair:
         rows = _null_safe(rows, touched, keys, "left_semi")
     if plan.pair:
-        groups = plan.keys[:-1] or [_NO_KEY]
-        rows = rows if plan.keys[:-1] else rows.withColumn(_NO_KEY, F.lit(0))
-        if touched is not None and plan.keys[:-1]:
+        own = plan.keys[: -plan.pair]
+        groups = own or [_NO_KEY]
+        rows = rows if own else rows.withColumn(_NO_KEY, F.lit(0))
+        if touched is not None and own:
             rows = _null_safe(rows, touched.select(*groups).distinct(), groups, "left_semi")
-        rows = rows.groupBy(*groups).agg(F.count(plan.keys[-1]).alias(f"{COUNT}_pairs"))
+        whole = F.when(reduce(and_, [F.col(k).isNotNull() for k in plan.keys[-plan.pair :]]), 1)
+        rows = rows.groupBy(*groups).agg(F.count(whole).alias(f"{COUNT}_pairs"))
     if plan.scalar:
         one = state.sparkSession.range(1).select(F.lit(0).alias("__one"))
         rows = one.join(rows, F.lit(True), "left")

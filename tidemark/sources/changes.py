@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import path_of
+
 #: Operation codes of a change log: insert, delete, and the two images of an update.
 OPS_IN, OPS_OUT = ("I", "U_NEW"), ("D", "U_OLD")
 OP_COLUMN = "__op"
@@ -54,3 +57,40 @@ def patched(old: DataFrame, delta: Delta, key: list[str] | None = None) -> DataF
         return kept if delta.plus is None else kept.unionByName(delta.plus)
     grown = old if delta.plus is None else old.unionByName(delta.plus)
     return grown.exceptAll(delta.minus.select(grown.columns))
+
+
+#: Changes of one level before they become one of the next: 0 changes, 1 sums of changes; sums of all make the base.
+FANOUT = 8
+
+
+class Bag:
+    """Rows as a written base and the signed changes since, in layers: a change writes itself alone, whatever the size of the base."""
+
+    def __init__(self, base: DataFrame, key: list[str] | None = None, layers: tuple[tuple[int, Delta], ...] = ()):
+        self.base, self.key, self.layers = base, key, layers
+        self._rows: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        if self._rows is None:
+            self._rows = patched(self.base, self._net(self.layers), self.key) if self.layers else self.base
+        return self._rows
+
+    @staticmethod
+    def _net(layers: tuple[tuple[int, Delta], ...]) -> Delta:
+        out = Delta()
+        for _, delta in layers:
+            out = out.then(delta)
+        return net(out) if len(layers) > 1 else out
+
+    def changed(self, delta: Delta, keep: Callable[[DataFrame], DataFrame]) -> tuple[Bag, Delta]:
+        """(the bag after a change, the change as written)."""
+        written = lambda d: Delta(*[x if x is None or path_of(x) else keep(x) for x in (d.minus, d.plus)])
+        delta = written(delta)
+        layers = (*self.layers, (0, delta))
+        if sum(level == 0 for level, _ in layers) >= FANOUT:
+            layers = (*[x for x in layers if x[0]], (1, written(self._net(tuple(x for x in layers if not x[0])))))
+        out = Bag(self.base, self.key, layers)
+        return (Bag(keep(out.rows()), self.key) if sum(level for level, _ in layers) >= FANOUT else out), delta
+
+    def frames(self) -> list[DataFrame]:
+        return [self.base, *[x for _, d in self.layers for x in (d.minus, d.plus) if x is not None]]

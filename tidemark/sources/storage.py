@@ -10,37 +10,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all is on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def path_of(df: DataFrame | None) -> str | None:
+    """The folder that a store wrote df to, if it did."""
+    return getattr(df, "_tidemark_path", None)
+
+
 class Store:
     """Versioned Parquet tables below one folder. A version is written whole before anything points at it."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.durable = spark, folder is not None
         self.folder = folder or f"{shared_dir(spark)}/tidemark-views-{uuid.uuid4().hex}"
+        self.new: dict[str, set[str]] = {}  # by name, what was written since its owner looked
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Lineage ends here: the result reads files that every executor sees."""
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        self.new.setdefault(name, set()).add(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.read(path, df.schema)
 
-    def remove(self, df: DataFrame | None) -> None:
-        for path in df.inputFiles()[:1] if df is not None else ():
-            self.delete(path.rsplit("/", 1)[0])
+    def read(self, path: str, schema=None) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path) if schema is not None else self.spark.read.parquet(path)
+        out._tidemark_path = path
+        return out
 
-    def delete(self, path: str) -> None:
+    def _file(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def delete(self, path: str) -> None:
+        files, target = self._file(path)
+        files.delete(target, True)
 
     def save_json(self, name: str, value: object) -> None:
-        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}")
+        """Written beside the old one and moved over it, so that there is always a whole one."""
+        new = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        files, target = self._file(new)
+        out = files.create(target, True)
+        out.write(json.dumps(value).encode())
+        out.close()
+        _, old = self._file(f"{self.folder}/{name}")
+        files.delete(old, True)
+        if not files.rename(target, old):
+            raise RuntimeError(f"can't write {name}")
 
-    def load_json(self, name: str) -> object:
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
+    def load_json(self, name: str) -> object | None:
+        files, target = self._file(f"{self.folder}/{name}")
+        if not files.exists(target):
+            return None
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
