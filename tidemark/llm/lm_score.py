@@ -172,8 +172,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     bits = min(64, max(1, int(size)).bit_length() + SPARE)
     dealt = marked.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     sent = "part bigint, block bigint, blob binary"
-    asked = dealt.groupBy("block").applyInArrow(_ask(bits, parts), sent)
-    answers = asked.groupBy("part").applyInArrow(_answer, sent)
+    dealt = dealt.repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(bits, parts), sent).repartition(parts, "part")
+    answers = asked.groupBy("part").applyInArrow(_answer, sent).repartition(blocks, "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(bits), f"id {texts.dtypes[0][1]}, {_SCORED}")
 
 
