@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tidemark.llm import ann, chat, components, decontaminate, language, license, lm_score, pieces, quality, simhash, textops, warc
+from tidemark.llm import chat, components, decontaminate, language, license, lm_score, pieces, quality, simhash, textops, warc
 from tidemark.llm.shared import fresh_path
 
 TEXTS = [None, "", " ", "Hello, World hello", "a b c d e f g h i j", "Über ßen 日本 \t x", "x" * 3000 + " y", "a b c d e f g h i j"]
@@ -142,19 +142,6 @@ def test_license(spark):
     assert got["c/z"]["license"] is None and got[None]["license"] is None and len(got) == 6
 
 
-def test_ann_is_exact_when_all_is_probed(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 8))
-    x[5] = x[7]
-    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(900, None, "e"), (901, [0.0] * 8, "e"), (902, [float("nan")] * 8, "e")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = ann.search(table, table.where("vec_id % 100 = 0"), probed=1.0, shortlist=400).orderBy("query_id", "rank").collect()
-    for q in (0, 100, 200):
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        assert [r["vec_id"] for r in got if r["query_id"] == q] == np.lexsort((np.arange(300), d))[:10].tolist()
-
-
 def test_models(spark):
     good, bad = "the cat sat on the mat and looked at the sky", "BUY!! NOW!! $$$ ### NOW!! BUY!!"
     table = docs(spark, [f"{good} {i}" if i % 2 else f"{bad} {i}" for i in range(200)] + [None, ""])

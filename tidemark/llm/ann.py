@@ -1,27 +1,30 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed under its nearest
-centroid with one byte per subspace of its residual. A query probes its nearest cells; there,
-asymmetric distance tables rank the cell's rows, and the best `shortlist` of every block are
-reranked by the exact distance in double precision.
-
-Cells are dealt out in blocks of rows, and the queries of a cell in blocks too, so a cell with
-a third of all rows is many tasks. What meets in one task is one block of each.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; with fewer than k candidates all are returned; ties go to the smaller
-id; rows with equal vectors are all candidates; an empty table gives an empty result; a null
-id takes no part; other columns are ignored.
+centroid c with one byte per subspace of its residual, which stands for r. A query q probes its
+nearest cells. As |q - c - r|^2 = |q - c|^2 - 2 q.r + (2 c.r + |r|^2), one asymmetric table of
+products of q with the codebooks, the same for all cells, and a figure kept per row give the rough
+distances; the best `shortlist` of each batch of rows are reranked by the exact distance in double
+precision.
+
+Queries are broadcast in blocks of a bounded size and the index is read once for each block: it is
+never shuffled or copied, so it does not matter how many rows a cell has. A task holds a batch of
+the index and the best found for each query of a block.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a
+null id. Vectors of each length are an index of their own. With fewer than k candidates all are
+returned; ties go to the smaller id; rows with equal vectors or ids are candidates each, and each
+query row leaves out itself alone; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import numbered, sampled, stored, table
 
 K = 10
 #: Cells are a quarter of the root of the rows, within these bounds; a query probes this share of them.
@@ -29,11 +32,13 @@ CELLS = (64, 4096)
 PROBED = 0.75
 SUBSPACES = 16
 CODES = 256
-SHORTLIST = 256
+SHORTLIST = 128
 SAMPLE = 20_000
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 8192
+#: Lengths that the vectors of one table may have.
+WIDTHS = 64
 _ROUNDS = 12
+_SIDE = 128
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -67,96 +72,120 @@ class Index:
         self.parts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.books = [_means(rest[:, p], CODES, rng) for p in self.parts]
 
-    def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, codes, 2 c.r + |r|^2) of vectors."""
+        cell = _nearest(x, self.centres)
         rest = x - self.centres[cell]
-        return np.column_stack([_nearest(rest[:, p], book) for p, book in zip(self.parts, self.books, strict=True)]).astype(np.uint8)
+        codes = np.column_stack([_nearest(rest[:, p], book) for p, book in zip(self.parts, self.books, strict=True)]).astype(np.uint8)
+        r = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+        return cell, codes, 2 * (self.centres[cell] * r).sum(axis=1) + (r * r).sum(axis=1)
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Per subspace, products of each query with each code."""
+        return [(queries[:, p] @ book.T).astype(np.float32) for p, book in zip(self.parts, self.books, strict=True)]
+
+    def to_cells(self, queries: np.ndarray, probes: int, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Squared distances of queries to centroids; infinite beyond the nearest `probes` and those that hold `least` rows."""
+        far = (queries**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * queries @ self.centres.T
+        out = np.full(far.shape, np.inf, np.float32)
+        near = np.argsort(far, axis=1, kind="stable")
+        held = np.cumsum(sizes[near], axis=1) - sizes[near]
+        probed = np.where((np.arange(far.shape[1]) < probes) | (held < least), np.take_along_axis(far, near, axis=1), np.inf)
+        np.put_along_axis(out, near, probed.astype(np.float32), axis=1)
+        return out
+
 
-    def tables(self, queries: np.ndarray, cell: int) -> list[np.ndarray]:
-        """Per subspace, squared distances of each query's residual to each code."""
-        rest = queries - self.centres[cell]
-        return [((rest[:, None, p] - book[None]) ** 2).sum(axis=2) for p, book in zip(self.parts, self.books, strict=True)]
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.asarray(flat, np.float64).reshape(-1, width)
 
 
-def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def _usable(vectors: DataFrame, id_col: str, vec_col: str, asked: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("vec"), F.coalesce(F.expr(asked), F.lit(False)).alias("asked")).where("id IS NOT NULL AND vec IS NOT NULL")
     return rows.where(sound & F.exists("vec", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, probed: float = PROBED, cells: int | None = None, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of every row of `queries` (same columns), without the row of its own id."""
+def _scan(shared, k: int, probes: int, shortlist: int):
+    """The best found in a task's rows (cell, code, term, row, id, vec) for each query of a block (row, id, vec)."""
+
+    def search(index, sizes, queries, codes, cell, term, x, row, id_):
+        number, q = queries
+        rough = index.to_cells(q, probes, sizes, k + 1)[:, cell] + term.astype(np.float32)
+        for s, t in enumerate(index.tables(q)):
+            rough -= 2 * t[:, codes[:, s]]
+        rough[number[:, None] == row[None, :]] = np.inf
+        take = min(shortlist, rough.shape[1])
+        near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+        for i in range(len(q)):
+            at = near[i][np.isfinite(rough[i, near[i]])]
+            exact = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+            at, exact = at[order := np.lexsort((row[at], id_[at], exact))[:k]], exact[order]
+            yield np.full(len(at), number[i]), row[at], id_[at], exact
+
+    def run(batches):
+        index, sizes, number, ids, q = shared.value
+        found = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            cell, term, row, id_ = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4))
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(5), q.shape[1])
+            new = [some for at in range(0, len(q), _SIDE) for some in search(index, sizes, (number[at : at + _SIDE], q[at : at + _SIDE]), codes, cell, term, x, row, id_)]
+            found = [np.concatenate([a, *b]) for a, b in zip(found, zip(*new, strict=True), strict=True)]
+            query = found[0]
+            order = np.lexsort((found[1], found[2], found[3], query))
+            rank = np.arange(len(query)) - np.searchsorted(query[order], query[order])
+            found = [a[order[rank < k]] for a in found]
+        name = dict(zip(number.tolist(), ids.tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array([name[i] for i in found[0].tolist()], pa.int64()), pa.array(found[1]), pa.array(found[2]), pa.array(found[3])], ["query", "query_id", "row", "vec_id", "score"])
+
+    return run
+
+
+_FOUND = "query bigint, query_id bigint, row bigint, vec_id bigint, score double"
+
+
+def search(vectors: DataFrame, asked: str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, probed: float = PROBED, cells: int | None = None, shortlist: int = SHORTLIST, sample: int = SAMPLE, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest found of every row that meets the condition `asked`, among all rows but itself."""
     spark = vectors.sparkSession
-    rows, asked = _usable(vectors, id_col, vec_col), _usable(queries, id_col, vec_col)
-    width = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if width is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows, asked = rows.where(F.size("vec") == width["n"]), asked.where(F.size("vec") == width["n"])
-    cells = cells or int(np.clip(width["count"] ** 0.5 / 4, *CELLS))
-    probes = max(1, round(cells * probed))
-    chosen = F.lit(True) if width["count"] <= sample else F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(sample / width["count"] * (1 << 20))
-    taken = rows.where(chosen).select("id", "vec").toArrow()
-    order = np.argsort(np.asarray(taken["id"]), kind="stable")
-    index = Index(np.asarray(taken["vec"].combine_chunks().flatten()).reshape(-1, width["n"])[order], cells)
-    shared = spark.sparkContext.broadcast(index)
-
-    def assign(batches):
-        for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy())
-            cell = _nearest(x, shared.value.centres)
-            codes = shared.value.codes(x, cell)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "id": pdf["id"], "code": [c.tobytes() for c in codes], "vec": pdf["vec"]})
-
-    indexed, _ = stored(rows.mapInPandas(assign, "cell int, id bigint, code binary, vec array<double>"), "index")
-    # as many rows as cells, a parameter
-    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
-    n_queries = asked.count()
-    blocks = {c: -(-n // BLOCK_ROWS) for c, n in sizes.items()}
-    parts = max(1, -(-n_queries * probes // max(1, len(index.centres)) // BLOCK_QUERIES))
-    known = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, blocks[c])])
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.element_at(known, F.col("cell"))).cast("int")
-    dealt = indexed.select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "code", "vec")
-
-    def probe(batches):
-        live = np.array(sorted(blocks))
-        for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy())
-            centres = shared.value.centres[live]
-            far = (centres**2).sum(axis=1) - 2 * x @ centres.T
-            near = live[np.argsort(far, axis=1, kind="stable")[:, :probes]]
-            at = np.repeat(np.arange(len(pdf)), near.shape[1])
-            yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "id": pdf["id"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at]})
-
-    probed = asked.mapInPandas(probe, "cell int, id bigint, vec array<double>")
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).cast("int")
-    probed = probed.select("cell", F.explode(F.sequence(F.lit(0), F.element_at(known, F.col("cell")) - 1)).alias("block"), part.alias("part"), "id", "vec")
-
-    def scan(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        own = own.sort_values("id", kind="stable")
-        ids, x = own["id"].to_numpy(), np.stack(own["vec"].to_numpy())
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        who, q = wanted["id"].to_numpy(), np.stack(wanted["vec"].to_numpy())
-        out = []
-        for at in range(0, len(q), 64):
-            tables = shared.value.tables(q[at : at + 64], int(own["cell"].iloc[0]))
-            rough = sum(t[:, codes[:, s]] for s, t in enumerate(tables))
-            for i, row in enumerate(rough):
-                row[ids == who[at + i]] = np.inf
-                best = np.argsort(row, kind="stable")[:shortlist] if len(row) > shortlist else np.arange(len(row))
-                best = best[ids[best] != who[at + i]]
-                exact = np.sqrt(((x[best] - q[at + i]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[best], exact))[:k]
-                out.append(pd.DataFrame({"query_id": who[at + i], "vec_id": ids[best][order], "score": exact[order]}))
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["cell", "block", "part"]
-    met = dealt.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = numbered(_usable(vectors, id_col, vec_col, asked).withColumn("id", F.col("id").cast("bigint")), "row", "vectors")
+    widths = {r["n"]: (r["count"], r["q"]) for r in rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("count"), F.count_if("asked").alias("q")).limit(WIDTHS + 1).collect()}
+    if len(widths) > WIDTHS:
+        raise ValueError(f"vectors of more than {WIDTHS} lengths")
+    parts = []
+    for width, (count, wanted) in sorted(widths.items()):
+        own = rows.where(F.size("vec") == width)
+        n_cells = cells or int(np.clip(count**0.5 / 4, *CELLS))
+        taken = sampled(own.select("row", "vec"), sample).toArrow()
+        index = Index(_matrix(taken["vec"], width)[np.argsort(np.asarray(taken["row"]), kind="stable")], n_cells)
+        probes = max(1, round(len(index.centres) * probed))
+        fitted = spark.sparkContext.broadcast(index)
+
+        def assign(batches, fitted=fitted, width=width):
+            for batch in batches:
+                if batch.num_rows:
+                    cell, codes, term = fitted.value.coded(_matrix(batch.column(2), width))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(term), *batch.columns], ["cell", "code", "term", "row", "id", "vec"])
+
+        indexed, _ = stored(own.select("row", "id", "vec").mapInArrow(assign, "cell int, code binary, term double, row bigint, id bigint, vec array<double>"), "index")
+        sizes = np.zeros(len(index.centres), np.int64)
+        for r in indexed.groupBy("cell").count().collect():  # a row per cell
+            sizes[r["cell"]] = r["count"]
+        blocks = -(-wanted // block_queries)
+        for block in range(blocks):
+            # about `block_queries` rows, dealt by a hash of their numbers
+            queries = own.where(F.col("asked") & (F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)) == block)).select("row", "id", "vec").toArrow()
+            shared = spark.sparkContext.broadcast((index, sizes, np.asarray(queries["row"]), np.asarray(queries["id"]), _matrix(queries["vec"], width)))
+            parts.append(indexed.mapInArrow(_scan(shared, k, probes, shortlist), _FOUND))
+    found = spark.createDataFrame([], _FOUND) if not parts else parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_ann(spark, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return search(vectors, vectors.where("vec_id % 100 = 0"))
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
