@@ -28,6 +28,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Languages a model may have.
 LANGUAGES = 256
+_SLICES = 16
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -76,10 +77,20 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> tup
                 break
         for name, counts in totals.items():
             used = np.flatnonzero(counts)
-            used = used if len(used) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
-
-    counted, path = stored(rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "languages")
+            where = np.searchsorted(used, np.arange(_SLICES + 1) * (BUCKETS // _SLICES)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(x)) for x in (used, counts[used])]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * _SLICES), pa.array(np.arange(_SLICES)), *lists], ["lang", "slice", "bucket", "n"])
+
+    def total(told: pa.Table) -> pa.Table:
+        bucket, n = (told.column(c).combine_chunks().flatten() for c in ("bucket", "n"))
+        # sums of float64 are exact up to 2^53
+        sums = np.bincount(np.asarray(bucket), np.asarray(n), BUCKETS).astype(np.int64)
+        used = np.flatnonzero(sums)
+        used = used if len(used) else np.zeros(1, np.int64)
+        return pa.table([pa.array([told.column("lang")[0].as_py()] * len(used), pa.string()), pa.array(used), pa.array(sums[used])], names=["lang", "bucket", "n"])
+
+    told = rows.mapInArrow(count, "lang string, slice bigint, bucket array<bigint>, n array<bigint>")
+    counted, path = stored(told.groupBy("lang", "slice").applyInArrow(total, "lang string, bucket bigint, n bigint"), "languages")
     if counted.select("lang").distinct().count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     found = counted.toArrow()  # at most LANGUAGES * BUCKETS rows
@@ -87,7 +98,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> tup
     langs = sorted(set(found["lang"].to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
-        counts[np.asarray(found["bucket"]), np.searchsorted(np.array(langs), np.array(found["lang"].to_pylist()))] = np.asarray(found["n"])
+        np.add.at(counts, (np.asarray(found["bucket"]), np.searchsorted(np.array(langs), np.array(found["lang"].to_pylist()))), np.asarray(found["n"]))
     weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * BUCKETS)
     return langs, weights.astype(np.float32)
 
