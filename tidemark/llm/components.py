@@ -1,9 +1,9 @@
 """Connected components of a link table, as alternating large-star and small-star joins.
 
 Every round is a grouped minimum and a join; no neighbourhood, component or link list is
-ever held by one task or by the driver: minima of nodes with very many links, of which there
-are few, are broadcast, so that those links stay where they are. Rounds are tables in the
-shared folder.
+ever held by one task or by the driver: where nodes have very many links, of which there are
+few, their minima are broadcast, so that those links stay where they are. Rounds are tables in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -14,23 +14,29 @@ from pyspark.sql import functions as F
 from .shared import HOT_SHARE, discard, stored
 
 
-def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """edges with m of their node a; least has (a, m, n), n being the number of a's edges, of `total` or fewer."""
-    hubs = least.where(F.col("n") > max(1.0, total * HOT_SHARE)).select("a", "m")  # at most 1 / HOT_SHARE rows
+#: Links of a node that one task takes in any case.
+HUB = 1 << 14
+
+
+def _with_least(edges: DataFrame, least: DataFrame, bound: float) -> DataFrame:
+    """edges with m of their node a; least has (a, m, n), n being the number of a's edges. No more nodes have over `bound` than can be broadcast."""
+    if least.where(F.col("n") > bound).isEmpty():
+        return edges.join(least.select("a", "m").hint("merge"), "a")
+    hubs = least.where(F.col("n") > bound).select("a", "m")
     found = edges.join(F.broadcast(hubs), "a", "left")
-    return found.where("m IS NOT NULL").unionByName(found.where("m IS NULL").select("a", "b").join(least.select("a", "m"), "a"))
+    return found.where("m IS NOT NULL").unionByName(found.where("m IS NULL").select("a", "b").join(least.select("a", "m").hint("merge"), "a"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return _with_least(both, least, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, least, max(HUB, 2 * total * HOT_SHARE)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(down, least, total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least, max(HUB, total * HOT_SHARE)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
