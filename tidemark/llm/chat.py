@@ -37,6 +37,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOSS_ROLE = "assistant"
 _BATCH = 2000
+#: Nodes that a task remembers, and roles.
+_SEEN, _ROLES = 1 << 20, 1 << 12
 
 
 def escape(text: str) -> str:
@@ -70,21 +72,24 @@ def _rows(batches):
 
 
 def _batched(rows, names, types):
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    def out(held):
+        columns = zip(*held, strict=True) if held else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     held = []
     for row in rows:
-        held.append(dict(zip(names, row, strict=True)))
+        held.append(row)
         if len(held) >= _BATCH:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield out(held)
             held = []
-    yield pa.RecordBatch.from_pylist(held, schema)
+    yield out(held)
 
 
 def _chain(batches):
-    """Per turn its node: a digest of the node before, role and text. At a conversation's end a row with its chain of nodes."""
+    """Per turn its node: a digest of the node before, role and text, which stand with the node's first row in a task. At a conversation's end a row with its chain of nodes."""
 
     def out():
-        conv, node, depth, path = None, b"", 0, []
+        conv, node, depth, path, seen = None, b"", 0, [], set()
         for key, role, text in _rows(batches):
             if key != conv:
                 if conv is not None:
@@ -92,7 +97,13 @@ def _chain(batches):
                 conv, node, depth, path = key, b"", 0, []
             parent = node
             node = hashlib.blake2b(b"%s%d\0%s%s" % (parent, len(role.encode()), role.encode(), text.encode()), digest_size=16).digest()
-            yield conv, depth, node, parent, role, text, None
+            if node in seen:
+                yield conv, depth, node, None, None, None, None
+            else:
+                if len(seen) >= _SEEN:  # what was seen is only told again
+                    seen.clear()
+                seen.add(node)
+                yield conv, depth, node, parent, role, text, None
             path.append(node)
             depth += 1
         if conv is not None:
@@ -117,14 +128,19 @@ def _tokenised(shared):
 
         coder = _tokenizer(shared.value)
         part, start = TaskContext.get().partitionId(), 0
-        special = {START, END}
+        special, heads = {START, END}, {}
+        tail = coder.encode(f"{END}\n", allowed_special=special)
 
         def out():
             nonlocal start
             for node, parent, depth, role, text in _rows(batches):
-                head = coder.encode(f"{START}{escape_role(role)}\n", allowed_special=special)
+                head = heads.get(role)
+                if head is None:
+                    head = coder.encode(f"{START}{escape_role(role)}\n", allowed_special=special)
+                    if len(heads) < _ROLES:
+                        heads[role] = head
                 body = coder.encode_ordinary(escape(text))
-                tokens = head + body + coder.encode(f"{END}\n", allowed_special=special)
+                tokens = head + body + tail
                 loss = (len(head), len(head) + len(body)) if role == LOSS_ROLE else (0, 0)
                 yield node, parent, depth, role, part, start, tokens, *loss
                 start += len(tokens)
@@ -157,7 +173,7 @@ def _attention(batches):
 
 
 def prefix_tree(conversations: DataFrame, vocabulary_file: str = VOCABULARY_FILE) -> tuple[DataFrame, DataFrame]:
-    """(nodes, turns), both stored.
+    """(nodes, turns), over stored tables.
 
     nodes: node, parent, depth, role, start, tokens, loss_from, loss_to, position, ancestors;
     sorted by start they are the stream. turns: key, conv_id, depth, node, for every turn of every conversation.
@@ -175,7 +191,7 @@ def prefix_tree(conversations: DataFrame, vocabulary_file: str = VOCABULARY_FILE
     ranked, _ = stored(distinct.repartitionByRange("path").sortWithinPartitions("path").select("key").mapInArrow(_numbered, "key string, rank bigint"), "ranks")
     through = turns.join(ranked, "key")
     owners = through.groupBy("node").agg(F.min("rank").alias("owner"))
-    once = chained.where("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "role", "text")]).join(owners, "node")
+    once = chained.where("text IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "role", "text")]).join(owners, "node")
     sorted_ = once.repartitionByRange("owner", "depth").sortWithinPartitions("owner", "depth").select("node", "parent", "depth", "role", "text")
     emitted, _ = stored(sorted_.mapInArrow(_tokenised(shared), "node binary, parent binary, depth bigint, role string, part int, start bigint, tokens array<int>, loss_from int, loss_to int"), "emitted")
 
@@ -188,8 +204,8 @@ def prefix_tree(conversations: DataFrame, vocabulary_file: str = VOCABULARY_FILE
 
     placed = through.join(owners, "node").join(emitted.select("node", "start", F.size("tokens").alias("size")), "node")
     walked = placed.repartition("rank").sortWithinPartitions("rank", "depth").select("rank", "node", "owner", "start", "size")
-    attention = walked.mapInArrow(_attention, "node binary, position bigint, ancestors array<struct<from: bigint, to: bigint>>")
-    nodes, _ = stored(emitted.join(attention, "node"), "nodes")
+    attention, _ = stored(walked.mapInArrow(_attention, "node binary, position bigint, ancestors array<struct<from: bigint, to: bigint>>"), "attention")
+    nodes = emitted.join(attention, "node")
     ids = conversations.select(key, "conv_id").distinct()
     return nodes, turns.join(ids, "key")
 
@@ -247,9 +263,9 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
