@@ -199,3 +199,16 @@ def test_reports_and_cycles(spark, engine):
     engine.create_view("zero", "SELECT grp, MIN(val) AS lo FROM t GROUP BY grp", topk=0)
     engine.apply("t", deletes=spark.createDataFrame(ROWS[:20], SCHEMA))
     same(engine, "zero", "SELECT grp, MIN(val) AS lo FROM t GROUP BY grp")
+
+
+@pytest.mark.parametrize("sql, key", [
+    ("SELECT t.id, u.x FROM t JOIN u ON t.grp = u.g", ["id"]), ("SELECT t.id AS k, u.x FROM t LEFT JOIN u ON t.grp = u.g WHERE t.val > 1", ["k"]), ("SELECT t.val, u.x FROM t JOIN u ON t.grp = u.g", None),
+    ("SELECT t.id, u.x FROM t JOIN u ON t.val = u.x", None), ("SELECT t.id, u.x FROM u LEFT JOIN t ON t.grp = u.g", None), ("SELECT t.id, u.x FROM t CROSS JOIN u", None), ("SELECT u.g, t.val FROM t JOIN u ON t.grp = u.g", None),
+])
+def test_a_join_by_whole_keys_has_a_key(spark, engine, sql, key):
+    engine.register("u", spark.createDataFrame([("a", 1), ("b", 2), ("z", 2)], "g string, x int"), ["g"])
+    engine.create_view("v", sql)
+    assert engine.views["v"].key == key
+    engine.apply("u", updates=(spark.createDataFrame([("a", 1)], "g string, x int"), spark.createDataFrame([("a", 7)], "g string, x int")))
+    engine.apply("t", deletes=spark.createDataFrame(ROWS[:4], SCHEMA))
+    same(engine, "v", sql)

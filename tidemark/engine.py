@@ -390,6 +390,8 @@ class Engine:
         return names
 
     def _inherited_key(self, view: View, schema) -> list[str] | None:
+        if view.kind == "rows" and len(view.relations) > 1:
+            return self._joined_key(view, schema)
         if view.kind != "rows" or len(view.relations) != 1 or not view.relations[0].linear:
             return None
         source = self.sources.get(view.relations[0].name.lower())
@@ -398,6 +400,25 @@ class Engine:
             return [plain[k.lower()] for k in source.key]
         return None
 
+    def _joined_key(self, view: View, schema) -> list[str] | None:
+        """The key of a relation whose rows meet one row of each other at most: all are joined by their whole keys, one after the other."""
+        aliases = [r.alias for r in view.relations]
+        joins = analyze.join_equalities(self.spark, view.sql)
+        found = analyze.relations(self.spark, view.sql)
+        if len(set(aliases)) < len(aliases) or len(found) > len(aliases) or any(kind not in ("Inner", "LeftOuter") for kind, _ in joins):
+            return None
+        keys = {r.alias: [k.lower() for k in self.sources[r.name.lower()].key or ()] if r.name.lower() in self.sources else [] for r in view.relations}
+        equal = [x for _, x in joins if x] + [x[::-1] for _, x in joins if x]
+        names = {sqltext.normal(sqltext.alias_of(i)[0]): n for i, n in zip(sqltext.select_of(view.sql).items, schema.names)}
+        for r in view.relations:
+            own = [names.get(f"{r.alias}.{k}") for k in keys[r.alias]]
+            reached = {r.alias}
+            while more := {a for a in keys if a not in reached and keys[a] and all(any(x == (a, k) and y[0] in reached for x, y in equal) for k in keys[a])}:
+                reached |= more
+            if r.linear and own and all(own) and len(reached) == len(aliases):
+                return own
+        return None
+
     def _fill(self, view: View) -> None:
         if view.kind == "reading" or self._loaded(view):
             return
@@ -682,7 +703,8 @@ class Engine:
         if len(changed) != 1 or len(set(aliases)) < len(aliases):
             return lambda i, rows: rows
         own, delta = aliases[changed[0]], deltas[view.relations[changed[0]].name.lower()]
-        for sides in analyze.outer_equalities(self.spark, view.sql):
+        # a change of one side of such a join is seen in rows of the same key alone
+        for sides in (x for kind, x in analyze.join_equalities(self.spark, view.sql) if x and "Outer" in kind):
             for (alias, column), (other, key) in (sides, sides[::-1]):
                 if alias == own and other in aliases and other != own:
                     keys = union(*[x.select(F.col(f"`{column}`").alias("__key")) if x is not None else None for x in (delta.minus, delta.plus)]).distinct()

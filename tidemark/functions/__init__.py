@@ -1 +1 @@
-
+"""Column expressions that states are built of."""

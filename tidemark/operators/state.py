@@ -20,6 +20,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import heaps
 from ..plans.aggregate import COUNT, Plan
 from ..plans.analyze import ViewError
 from ..sources.changes import Delta
@@ -39,17 +40,11 @@ def _rows(plan: Plan, rows: DataFrame) -> DataFrame:
     return rows if plan.keys else rows.withColumn(_NO_KEY, F.lit(0))
 
 
-def _order(kind: str, column: str | Column) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return c.asc() if kind == "min" else c.desc()
-
-
 def _best(plan: Plan, rows: DataFrame, column: str, kind: str, k: int) -> DataFrame:
     """Per group the best k non-null values, best first. Ranks are cut per task before they are shuffled."""
     keys = _keys(plan)
-    ranked = rows.where(F.col(column).isNotNull()).select(*keys, column).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(_order(kind, column)))).where(F.col("__r") <= k)
-    values = F.array_sort(F.collect_list(column)) if kind == "min" else F.sort_array(F.collect_list(column), asc=False)
-    return ranked.groupBy(*keys).agg(values.alias(column))
+    ranked = rows.where(F.col(column).isNotNull()).select(*keys, column).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(heaps.order(kind, column)))).where(F.col("__r") <= k)
+    return ranked.groupBy(*keys).agg(heaps.best_first(kind, F.collect_list(column)).alias(column))
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -73,27 +68,17 @@ def build(plan: Plan, rows: DataFrame, topk: int) -> DataFrame:
     return out
 
 
-def _no_worse(kind: str, worst: Column) -> Callable[[Column], Column]:
-    return lambda x: x <= worst if kind == "min" else x >= worst
-
-
-def _less(heap: str, gone: str) -> Column:
-    """A heap without the values of another array, each taken away once."""
-    return F.expr(f"""aggregate(coalesce({gone}, array()), {heap}, (h, x) -> CASE WHEN array_position(h, x) > 0
-        THEN concat(slice(h, 1, cast(array_position(h, x) AS int) - 1), slice(h, cast(array_position(h, x) AS int) + 1, greatest(size(h), 1))) ELSE h END)""")
-
-
 def _partial(plan: Plan, rows: DataFrame | None, sign: int, topk: int) -> DataFrame | None:
     """The signed statistics of changed rows; heap arguments become arrays of what leaves or enters."""
     if rows is None:
         return None
     out = build(plan, rows, topk)
     sums = [(F.col(c) * sign).alias(c) for c in (COUNT, *plan.sums)]
-    heaps = []
+    changed = []
     for c in plan.heaps:
         empty = F.lit(None).cast(out.schema[c].dataType)
-        heaps += [(F.col(c) if sign < 0 else empty).alias(f"{c}_gone"), (F.col(c) if sign > 0 else empty).alias(f"{c}_new")]
-    return out.select(*_keys(plan), *sums, *heaps)
+        changed += [(F.col(c) if sign < 0 else empty).alias(f"{c}_gone"), (F.col(c) if sign > 0 else empty).alias(f"{c}_new")]
+    return out.select(*_keys(plan), *sums, *changed)
 
 
 Layers = tuple[tuple[int, DataFrame], ...]
@@ -160,16 +145,16 @@ def merge(plan: Plan, state: DataFrame, delta: Delta, topk: int, rows_now: Calla
     merged = old.unionByName(change).groupBy(*keys).agg(*aggs)
     dirty = F.lit(False)
     for c, (kind, n) in plan.heaps.items():
-        kept = _less(f"coalesce({c}, array())", f"{c}_gone")
+        kept = heaps.without(f"coalesce({c}, array())", f"{c}_gone")
         merged = merged.withColumn(f"{c}_left", kept.cast(state.schema[c].dataType))
         left, new = F.col(f"{c}_left"), F.coalesce(F.col(f"{c}_new"), F.array().cast(state.schema[c].dataType))
         # values that were there before the inserts and are not in the heap make it partial
         before = F.col(n) - F.size(new)
         whole = (F.size(left) >= F.least(before, F.lit(topk))) & (F.size(new) < topk) | (F.size(left) == F.lit(topk)) | (before <= F.size(left))
         worst = F.try_element_at(left, F.lit(-1))
-        fits = F.filter(new, _no_worse(kind, worst))
+        fits = F.filter(new, heaps.no_worse(kind, worst))
         both = F.concat(left, F.when(whole, new).otherwise(fits))
-        both = F.slice(F.array_sort(both) if kind == "min" else F.sort_array(both, asc=False), 1, topk)
+        both = F.slice(heaps.best_first(kind, both), 1, topk)
         merged = merged.withColumn(c, F.when(F.col(n) > 0, both).otherwise(F.array().cast(state.schema[c].dataType)))
         dirty = dirty | ((F.col(n) > 0) & ((F.size(left) == 0) & ~whole | (F.size(c) == 0)))
     merged = merged.withColumn(_DIRTY, dirty).select(*state.columns, _DIRTY)
