@@ -5,8 +5,8 @@ with one. The trie holds the marker as the byte 0x20, which no piece contains ot
 all segmentations into pieces, the one with the largest sum of log scores wins; a character
 without a piece costs the lowest score less 10 and is written as its UTF-8 bytes.
 
-Texts are cut where no piece can span: before a run of markers, and around bytes that occur
-in no longer piece. Each distinct stretch is solved once per batch, all of one batch side by
+Texts are cut where no piece can span: before a run of markers, and between characters whose
+bytes follow each other in no piece. Each distinct stretch is solved once per batch, all of one batch side by
 side in numpy; stretches of any length are solved whole.
 
 A file of a unigram model brings log scores. A file of a byte-pair model brings merge ranks
@@ -114,9 +114,11 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(text), np.uint8)
         whole = [text[i] for i in own]
         self.spans_marker = any(b" " in t.lstrip(b" ") for t in whole)
-        self.alone = np.zeros(256, bool)
-        self.alone[:128] = True
-        self.alone[list({c for t in whole if len(t) > 1 for c in t if c < 128} | {0x20})] = False
+        self.apart = np.ones((256, 256), bool)  # bytes that follow each other in no piece, at a character's start
+        self.apart[:, 0x80:0xC0] = False
+        for t in whole:
+            for pair in zip(t, t[1:]):
+                self.apart[pair] = False
 
     @classmethod
     @cache
@@ -136,11 +138,9 @@ class Pieces:
         out[np.arange(len(data)) + np.repeat(before[1:], np.diff(offsets))] = data
         begins = offsets + before
         cut = np.zeros(len(out), bool)
+        cut[1:] = self.apart[out[:-1], out[1:]]
         if not self.spans_marker:
-            cut[1:] = (out[1:] == 0x20) & (out[:-1] != 0x20)
-            single = self.alone[out]
-            cut |= single
-            cut[1:] |= single[:-1]
+            cut[1:] |= (out[1:] == 0x20) & (out[:-1] != 0x20)
         cut[begins[:-1][full]] = True
         starts = np.flatnonzero(cut)
         return out, starts, np.searchsorted(starts, begins)
