@@ -10,9 +10,10 @@ moves all shingles:
 2. The others send all their shingles, which are ordered by the number of these sets that have
    them, rarest first. Again similar sets share l shingles of their heads in that order.
 
-Large groups are linked by chains first: neighbours among sets of equal least hash whose
-signatures of least hashes agree for the most part are verified by their whole sets, and linked.
-After that groups, not sets, are candidates: two of them are if their heads share as many
+What is left goes to SimHash first: fingerprints of the sets are linked by anchor points, and so are,
+by chains, neighbours among sets of equal least hash whose signatures of least hashes agree for the
+most part; both are verified by the whole sets. That links most of a large group, but not every
+similar pair, as those may be ten bits and more apart. After that groups, not sets, are candidates: two of them are if their heads share as many
 shingles as two similar sets would. Of a pair of groups the smaller one's sets go to the larger one's,
 which all its pairs share, and are verified there. So a group of m near copies costs about m and not
 m^2. Nothing is sampled and no group is cut.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import spread_join, stored
-from .simhash import _shingles
+from .simhash import _majority, _shingles, links
 from .textops import chunks, lower
 from .xxh import xxh64_ranges
 
@@ -259,6 +260,14 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _fingerprints(batches):
+    """(key, fp) of (key, grams)."""
+    for batch in batches:
+        rows = np.asarray(batch.column(1).offsets).astype(np.int64)
+        h = np.asarray(batch.column(1).values).view(np.uint64)[rows[0] : rows[-1]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_majority(h, rows - rows[0]).view(np.int64))], ["key", "fp"])
+
+
 def _across(similarity: float):
     """Pairs among rows (gram, low, high, block, root, lo, hi, lead) of groups of sets of lo to hi shingles, a group of (gram, low, high) at a time."""
 
@@ -377,7 +386,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signature = F.array(*[F.array_min(F.transform("grams", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(_CHAINS)])
     chain = kept.select("key", "n", signature.alias("signature")).select("key", "n", "signature", F.posexplode("signature").alias("which", "least"))
     chain = chain.repartitionByRange("which", "least", "n", "key").sortWithinPartitions("which", "least", "n", "key").select("which", "least", "key", "signature")
-    chained, _ = stored(verified(chain.mapInArrow(_neighbours, "a bigint, b bigint").distinct()), "chained")
+    prints, _ = stored(kept.select("key", "grams").mapInArrow(_fingerprints, "key bigint, fp bigint"), "prints")
+    first = prints.groupBy("fp").agg(F.min("key").alias("first"))
+    linked = links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    alike = prints.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    proposed = chain.mapInArrow(_neighbours, "a bigint, b bigint").unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(alike)
+    chained, _ = stored(verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "chained")
     roots = components(chained).select(F.col("node").alias("key"), "root")
 
     members, _ = stored(kept.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
