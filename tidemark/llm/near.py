@@ -8,13 +8,13 @@ moves all shingles:
    l = 1 + LEAD n. Of two similar sets' heads at least l shingles are equal (l of the smaller one),
    so a set of whose head fewer are in any other head has no partner.
 2. The others send all their shingles, which are ordered by the number of these sets that have
-   them, rarest first. Again similar sets share l shingles of their heads in that order.
+   them, rarest first. In that order similar sets share one of the larger one's first
+   n - ceil(s n) + 1 and the smaller one's first n - ceil(2 s n / (1 + s)) + 1.
 
 What is left goes to SimHash first: fingerprints of the sets are linked by anchor points, and so are,
 by chains, neighbours among sets of equal least hash whose signatures of least hashes agree for the
 most part; both are verified by the whole sets. That links most of a large group, but not every
-similar pair, as those may be ten bits and more apart. After that groups, not sets, are candidates: two of them are if their heads share as many
-shingles as two similar sets would. Of a pair of groups the smaller one's sets go to the larger one's,
+similar pair, as those may be ten bits and more apart. After that groups, not sets, are candidates: two of them are if their sets share such a shingle. Of a pair of groups the smaller one's sets go to the larger one's,
 which all its pairs share, and are verified there. So a group of m near copies costs about m and not
 m^2. Nothing is sampled and no group is cut.
 
@@ -47,8 +47,8 @@ MAP_BITS = 1 << 27
 FREQUENT = 1 << 16
 #: Groups of one shingle that are paired in one task with each other or as many others; sets of a group that are in one task.
 BLOCK, GROUP = 1 << 14, 1 << 10
-#: Least hashes of a signature, and how many of them neighbours in a chain have to agree in: chains only save work.
-_CHAINS, _AGREED = 16, 9
+#: Least hashes of a signature, how many of them neighbours in a chain have to agree in, and how far neighbours reach: chains only save work.
+_CHAINS, _AGREED, _REACH = 16, 9, 6
 _GRAMS = 1 << 20
 
 _SHARED = "gram bigint, key bigint, df bigint"
@@ -244,7 +244,7 @@ def _shared(batches):
 
 
 def _neighbours(batches):
-    """Pairs (a, b) of rows (which, least, key, signature) that follow each other with the same least hash and agree in most of the others."""
+    """Pairs (a, b) of rows (which, least, key, signature) that are near each other with the same least hash and agree in most of the others."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -253,11 +253,12 @@ def _neighbours(batches):
         got = which, least, key, np.asarray(batch.column(3).flatten()).reshape(batch.num_rows, -1)
         if last is not None:
             got = tuple(np.concatenate([x, y]) for x, y in zip(last, got, strict=True))
-        last = tuple(x[-1:] for x in got)
+        last = tuple(x[-_REACH:] for x in got)
         which, least, key, signature = got
-        same = (which[1:] == which[:-1]) & (least[1:] == least[:-1]) & ((signature[1:] == signature[:-1]).sum(axis=1) >= _AGREED)
-        a, b = key[:-1][same], key[1:][same]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for d in range(1, min(_REACH, len(key) - 1) + 1):
+            same = (which[d:] == which[:-d]) & (least[d:] == least[:-d]) & ((signature[d:] == signature[:-d]).sum(axis=1) >= _AGREED)
+            a, b = key[:-d][same], key[d:][same]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _fingerprints(batches):
@@ -269,20 +270,22 @@ def _fingerprints(batches):
 
 
 def _across(similarity: float):
-    """Pairs among rows (gram, low, high, block, root, lo, hi, lead) of groups of sets of lo to hi shingles, a group of (gram, low, high) at a time."""
+    """Pairs among rows (gram, low, high, block, root, lo, hi, early) of groups of sets of lo to hi shingles, a group of
+    (gram, low, high) at a time; early: the shingle is among those that the smaller set of a pair shares."""
 
     def out(found):
-        a, b, lead = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(lead)], ["a", "b", "lead"])
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def pairs(block, root, lo, hi, lead):
+    def pairs(block, root, lo, hi, early):
         side = block == block.min()
         left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(root)), None)
         for i in left.tolist():
             j = np.arange(i + 1, len(root)) if right is None else right
-            j = j[np.minimum(hi[j], hi[i]) >= similarity * np.maximum(lo[j], lo[i]) - 1e-9]
+            near = np.minimum(hi[j], hi[i]) >= similarity * np.maximum(lo[j], lo[i]) - 1e-9
+            j = j[near & (early[j] & (lo[j] <= hi[i]) | early[i] & (lo[i] <= hi[j]))]
             if len(j):
-                yield np.full(len(j), root[i]), root[j], np.minimum(lead[j], lead[i])
+                yield np.full(len(j), root[i]), root[j]
 
     def runs(batches):
         held = None
@@ -371,11 +374,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = sets.select("key", F.explode("grams").alias("gram")).select("gram", "key").repartition("gram").sortWithinPartitions("gram")
     shared, _ = stored(each.mapInArrow(_shared, _SHARED), "shared")
     # grams of one set only come first in the order, so the rest of a head is as much shorter
-    lead = 1 + F.floor(F.col("n") * F.lit(LEAD) + 1e-9)
+    inner = F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9)
     own = shared.groupBy("key").agg(F.count("*").alias("common")).join(left, "key").where(F.col("common") >= least)
-    own = own.select("key", "n", lead.alias("lead"), F.least(F.col("common"), F.col("common") - least + lead).cast("int").alias("head"))
-    sorted_sets = shared.join(own, "key").groupBy("key", "n", "lead", "head").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    kept, _ = stored(sorted_sets.select("key", "n", "lead", "head", F.col("grams.gram").alias("grams")), "candidates")
+    own = own.select("key", "n", (F.col("common") - least + 1).cast("int").alias("head"), (F.col("common") - inner + 1).cast("int").alias("early"))
+    sorted_sets = shared.join(own, "key").groupBy("key", "n", "head", "early").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    kept, _ = stored(sorted_sets.select("key", "n", "head", "early", F.col("grams.gram").alias("grams")), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = kept.select(F.col("key").alias("a"), "n", F.col("grams").alias("x"))
@@ -384,8 +387,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pairs.join(first, "a").join(second, "b").where(both >= (F.col("n") + F.col("m") - both) * F.lit(similarity) - 1e-9).select("a", "b")
 
     signature = F.array(*[F.array_min(F.transform("grams", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(_CHAINS)])
-    chain = kept.select("key", "n", signature.alias("signature")).select("key", "n", "signature", F.posexplode("signature").alias("which", "least"))
-    chain = chain.repartitionByRange("which", "least", "n", "key").sortWithinPartitions("which", "least", "n", "key").select("which", "least", "key", "signature")
+    chain = kept.select("key", signature.alias("signature")).select("key", "signature", F.posexplode("signature").alias("which", "least"))
+    # neighbours are sets that share one more least hash, or in every other chain any
+    beside = F.when(F.col("which") % 2 == 0, F.element_at("signature", (F.col("which") + 1) % _CHAINS + 1)).otherwise(0)
+    chain = chain.withColumns({"beside": beside, "place": F.xxhash64("key", "which")})
+    chain = chain.repartitionByRange("which", "least", "beside", "place").sortWithinPartitions("which", "least", "beside", "place").select("which", "least", "key", "signature")
     prints, _ = stored(kept.select("key", "grams").mapInArrow(_fingerprints, "key bigint, fp bigint"), "prints")
     first = prints.groupBy("fp").agg(F.min("key").alias("first"))
     linked = links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
@@ -395,14 +401,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(chained).select(F.col("node").alias("key"), "root")
 
     members, _ = stored(kept.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
-    groups, _ = stored(members.groupBy("root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("lead").alias("lead"), F.count("*").alias("size")), "groups")
-    heads = members.select("root", F.explode(F.slice("grams", F.lit(1), F.col("head"))).alias("gram")).distinct()
-    several = heads.groupBy("gram").count().where("count > 1").select("gram", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    groups, _ = stored(members.groupBy("root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("size")), "groups")
+    heads = members.select("root", "early", F.posexplode(F.slice("grams", F.lit(1), F.col("head"))).alias("place", "gram"))
+    heads = heads.groupBy("root", "gram").agg(F.max(F.col("place") < F.col("early")).alias("early"))
+    several = heads.groupBy("gram").agg(F.count("*").alias("count"), F.max("early").alias("any")).where("any AND count > 1").select("gram", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = heads.join(several, "gram").join(groups, "root")
     dealt = dealt.withColumn("block", F.pmod("root", F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "lo", "hi", "lead")
+    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "lo", "hi", "early")
     dealt = dealt.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
-    pairs = dealt.mapInArrow(_across(similarity), "a bigint, b bigint, lead bigint").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("lead").alias("lead")).where("times >= lead")
+    pairs = dealt.mapInArrow(_across(similarity), "a bigint, b bigint").distinct()
 
     size = lambda x: groups.select(F.col("root").alias(x), F.struct("size", "root").alias(f"of_{x}"))
     pairs = pairs.join(size("a"), "a").join(size("b"), "b").select(F.greatest("of_a", "of_b").alias("large"), F.least("of_a", "of_b").alias("small"))
