@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import spread_join, stored
+from .shared import map_of, on_map, spread_join, stored
 from .simhash import _majority, _shingles, links
 from .textops import chunks, lower
 from .xxh import xxh64_ranges
@@ -41,8 +41,6 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Shingles beyond the first of a head that similar sets share, as a part of their size.
 LEAD = 0.1
-#: Bits of the map of sets that are left, the same at any size; a full map only lets more pass to the exact join.
-MAP_BITS = 1 << 27
 #: Sets of one shingle that are told apart in the order; above, shingles are ordered by hash.
 FREQUENT = 1 << 16
 #: Groups of one shingle that are paired in one task with each other or as many others; sets of a group that are in one task.
@@ -188,16 +186,6 @@ def _met(batches):
         )
 
 
-def _map_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each key's remainder: MAP_BITS bits whatever the table holds."""
-    at = keys.select((F.pmod("key", F.lit(MAP_BITS)) + 1).alias("at"))
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for b, bits in zip(rows["b"].to_pylist(), rows["bits"].to_pylist(), strict=True):
-        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _sets(texts: DataFrame, k: int, known: np.ndarray) -> DataFrame:
     """(key, grams) of the sets that may be on the map, once per task."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
@@ -207,8 +195,7 @@ def _sets(texts: DataFrame, k: int, known: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, data, offsets in chunks(batch, "text"):
                 h, where, name = _grams(data, offsets, k)
-                at = np.mod(name, MAP_BITS)
-                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(on_map(bits, name))
                 hit = hit[_first_seen(seen, name[hit])]
                 size = np.diff(where)[hit]
                 cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -370,7 +357,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need = 1 + F.floor(least * F.lit(LEAD) + 1e-9)  # a partner may be as small as `least`
     left, _ = stored(met.groupBy("key").agg(F.sum("got").alias("got"), F.max("n").alias("n")).where(F.col("got") >= need).select("key", "n"), "left")
 
-    sets = _sets(texts, k, _map_of(left)).groupBy("key").agg(F.first("grams").alias("grams")).join(left, "key", "left_semi")
+    sets = _sets(texts, k, map_of(left)).groupBy("key").agg(F.first("grams").alias("grams")).join(left, "key", "left_semi")
     each = sets.select("key", F.explode("grams").alias("gram")).select("gram", "key").repartition("gram").sortWithinPartitions("gram")
     shared, _ = stored(each.mapInArrow(_shared, _SHARED), "shared")
     # grams of one set only come first in the order, so the rest of a head is as much shorter

@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than this part of the rows is not gathered; so there are at most as many such keys as its inverse.
 HOT_SHARE = 1e-3
+#: Bits of a map of keys, the same at any size; a full map only lets more rows pass to an exact join.
+MAP_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +49,31 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     return stored(df.withColumn(column, F.monotonically_increasing_id()), name)[0]
 
 
-def spread_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """The inner join of rows with named, in which keys are unique.
+def map_of(keys: DataFrame) -> np.ndarray:
+    """A bit for the remainder of each number in column key: MAP_BITS bits whatever the table holds."""
+    at = keys.select((F.pmod("key", F.lit(MAP_BITS)) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for b, bits in zip(rows["b"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def on_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys may be among those that the map was made of: never false for one that is."""
+    at = np.mod(keys, MAP_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with named, in which keys are unique.
 
     What named says of keys that very many rows have is broadcast, so that those rows stay where they are; the others are shuffled.
     """
     total = rows.count()
     hot = rows.groupBy(key).count().where(F.col("count") > max(1.0, total * HOT_SHARE)).select(key)
     often, _ = stored(named.join(F.broadcast(hot), key, "left_semi"), "hot")  # at most 1 / HOT_SHARE rows
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named, key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named, key, how)
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 

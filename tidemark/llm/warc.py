@@ -23,12 +23,13 @@ import re
 import struct
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, sampled, spread_join, stored, table
+from .shared import fresh_path, map_of, on_map, sampled, spread_join, stored, table
 
 #: Fixed values of the format.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -249,10 +250,18 @@ def archive_pages(pages: DataFrame, where: str, key: str = "page_id", url: str =
     """Write a record per row; of equal payloads of `revisit_from` bytes or more, all but that with the largest key become revisits of it. Returns the manifest."""
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.when(F.octet_length("text") >= revisit_from, F.sha1("text")))
-    first = rows.where("digest IS NOT NULL AND k IS NOT NULL").groupBy("digest").agg(F.max("k").alias("first"))
+    first = rows.where("digest IS NOT NULL AND k IS NOT NULL").groupBy("digest").agg(F.max("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     refers = F.when((F.col("first").isNotNull()) & (F.col("k") != F.col("first")), F.col("first").cast("string"))
-    alone = F.col("digest").isNull() | F.col("k").isNull()
-    met = spread_join(rows.where(~alone), first, "digest").unionByName(rows.where(alone).withColumn("first", F.lit(None)))
+    first, _ = stored(first, "repeated")
+    # most payloads occur once: a map of fixed size tells which may not, and those alone are shuffled
+    shared = pages.sparkSession.sparkContext.broadcast(map_of(first.select(F.xxhash64("digest").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def known(digest: pd.Series) -> pd.Series:
+        return pd.Series(on_map(shared.value, digest.to_numpy()))
+
+    marked = rows.withColumn("again", F.col("digest").isNotNull() & F.col("k").isNotNull() & known(F.xxhash64("digest")))
+    met = spread_join(marked.where("again"), first, "digest", "left").unionByName(marked.where("NOT again").withColumn("first", F.lit(None)))
     out = met.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("key"), "url", "text", refers.alias("refers_to"))
     return write_archives(out, where, train_dictionary(pages, text), archive_bytes)
 
