@@ -56,6 +56,15 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark).where("false")).collect() == []
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d"), (4, "a b c d"), (4, "x y z"), (9, "A  b c d"), (None, "q r s"), (None, "q r s"), (7, None), (3, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fp = {t: fingerprint(t) for _, t in rows}
+    assert sorted((repr(r["id"]), r["fp"] % (1 << 64), repr(r["component_id"])) for r in got) == sorted(
+        (repr(i), fp[t], {"a b c d": "4", "A  b c d": "4", "x y z": "4", "q r s": "None", None: "3", "": "3"}[t]) for i, t in rows
+    )
+
+
 @pytest.mark.parametrize("split", [4096, 30])
 def test_links_lose_nothing(spark, split):
     rng = np.random.default_rng(1)

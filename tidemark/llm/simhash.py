@@ -11,7 +11,10 @@ Anchors that gather more rows than `split_above` are dealt out again by what the
 has: of five pieces of it, two agree in every linked pair.
 
 Null texts and texts without words have fingerprint zero and link to each other; equal
-texts are one group; an empty table gives an empty table; other columns are ignored.
+texts are one group; rows with null or repeated ids are in components like others, but a null
+id names none, save a component of null ids alone; an empty table gives an empty table; other
+columns are ignored. A text is held with its shingles, so a very long one takes some 25 times
+its size.
 """
 
 from __future__ import annotations
