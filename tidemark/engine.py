@@ -102,6 +102,7 @@ class Engine:
         self.warnings: list[str] = []
         self.statements: dict[str, dict] = {}
         self._saved: dict[str, dict] = {}
+        self._joins: dict[str, list] = {}  # what join_equalities found, by statement
         self._lock = threading.RLock()  # one change at a time
 
     # sources
@@ -489,9 +490,15 @@ class Engine:
             self._save()
 
     def _change(self, deltas: dict[str, Delta]) -> None:
-        deltas = {n: self._stored_rows(self.sources[n], d) for n, d in deltas.items() if d and not self._nothing(d)}
-        if not deltas:
+        written = {}
+        for n, d in deltas.items():
+            source = self.sources[n]
+            bag, d = source.bag.changed(self._stored_rows(source, d), lambda df, s=source: self.store.write(f"sources/{s.name}", df))
+            if not self._nothing(d):
+                written[n] = bag, d
+        if not written:
             return
+        deltas = {n: d for n, (_, d) in written.items()}
         old = {n: self.sources[n].data for n in deltas}
         queued = {v.name.lower() for v in self.views.values() if v.mode == "DEFERRED"}
         # views above a deferred one wait with it
@@ -501,8 +508,7 @@ class Engine:
         before = {n: (self.sources[n].bag, self.sources[n].pending) for n in deltas}
         for n, d in deltas.items():
             source = self.sources[n]
-            source.bag, d = source.bag.changed(d, lambda df, s=source: self.store.write(f"sources/{s.name}", df))
-            deltas[n] = d
+            source.bag = written[n][0]
             source.batches += 1
             if queued and any(n in self._below(self.views[v]) for v in queued):
                 source.pending = source.pending.then(d)
@@ -704,7 +710,9 @@ class Engine:
             return lambda i, rows: rows
         own, delta = aliases[changed[0]], deltas[view.relations[changed[0]].name.lower()]
         # a change of one side of such a join is seen in rows of the same key alone
-        for sides in (x for kind, x in analyze.join_equalities(self.spark, view.sql) if x and "Outer" in kind):
+        if view.sql not in self._joins:
+            self._joins[view.sql] = analyze.join_equalities(self.spark, view.sql)
+        for sides in (x for kind, x in self._joins[view.sql] if x and "Outer" in kind):
             for (alias, column), (other, key) in (sides, sides[::-1]):
                 if alias == own and other in aliases and other != own:
                     keys = union(*[x.select(F.col(f"`{column}`").alias("__key")) if x is not None else None for x in (delta.minus, delta.plus)]).distinct()
