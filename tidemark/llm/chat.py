@@ -25,6 +25,7 @@ import hashlib
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,15 +125,11 @@ def _numbered(batches):
 
 def _tokenised(shared):
     def run(batches):
-        from pyspark import TaskContext
-
         coder = _tokenizer(shared.value)
-        part, start = TaskContext.get().partitionId(), 0
         special, heads = {START, END}, {}
         tail = coder.encode(f"{END}\n", allowed_special=special)
 
         def out():
-            nonlocal start
             for node, parent, depth, role, text in _rows(batches):
                 head = heads.get(role)
                 if head is None:
@@ -142,16 +139,27 @@ def _tokenised(shared):
                 body = coder.encode_ordinary(escape(text))
                 tokens = head + body + tail
                 loss = (len(head), len(head) + len(body)) if role == LOSS_ROLE else (0, 0)
-                yield node, parent, depth, role, part, start, tokens, *loss
-                start += len(tokens)
+                yield node, parent, depth, role, tokens, *loss
 
-        names = ["node", "parent", "depth", "role", "part", "start", "tokens", "loss_from", "loss_to"]
-        types = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+        names = ["node", "parent", "depth", "role", "tokens", "loss_from", "loss_to"]
+        types = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
         yield from _batched(out(), names, types)
 
     return run
 
 
+def _starts(batches):
+    """(node, part, start, size) of sorted rows (node, size): the tokens before a node in its part of the stream."""
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        size = np.asarray(batch.column(1)).astype(np.int64)
+        ends = at + np.cumsum(size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(ends - size), batch.column(1)], ["node", "part", "start", "size"])
+        at = int(ends[-1]) if len(ends) else at
+
+
 def _attention(batches):
     """Along each conversation: position of a node's first token, and its ancestors' stream intervals, joined where they touch."""
 
@@ -191,21 +199,24 @@ def prefix_tree(conversations: DataFrame, vocabulary_file: str = VOCABULARY_FILE
     ranked, _ = stored(distinct.repartitionByRange("path").sortWithinPartitions("path").select("key").mapInArrow(_numbered, "key string, rank bigint"), "ranks")
     through = turns.join(ranked, "key")
     owners = through.groupBy("node").agg(F.min("rank").alias("owner"))
-    once = chained.where("text IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "role", "text")]).join(owners, "node")
-    sorted_ = once.repartitionByRange("owner", "depth").sortWithinPartitions("owner", "depth").select("node", "parent", "depth", "role", "text")
-    emitted, _ = stored(sorted_.mapInArrow(_tokenised(shared), "node binary, parent binary, depth bigint, role string, part int, start bigint, tokens array<int>, loss_from int, loss_to int"), "emitted")
+    once = chained.where("text IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "role", "text")])
+    spoken, _ = stored(once.mapInArrow(_tokenised(shared), "node binary, parent binary, depth bigint, role string, tokens array<int>, loss_from int, loss_to int"), "tokens")
+    # the order of the stream is found from the nodes' names and sizes alone
+    sizes = spoken.select("node", "depth", F.size("tokens").alias("size")).join(owners, "node")
+    sorted_ = sizes.repartitionByRange("owner", "depth").sortWithinPartitions("owner", "depth").select("node", "size")
+    starts, _ = stored(sorted_.mapInArrow(_starts, "node binary, part int, start bigint, size int"), "starts")
 
     # a row per partition
     base, totals = 0, {}
-    for row in sorted(emitted.groupBy("part").agg(F.sum(F.size("tokens")).alias("n")).collect(), key=lambda r: r["part"]):
+    for row in sorted(starts.groupBy("part").agg(F.sum("size").alias("n")).collect(), key=lambda r: r["part"]):
         totals[row["part"]], base = base, base + row["n"]
     before = F.element_at(F.create_map(*[F.lit(x) for p, n in totals.items() for x in (p, n)]), F.col("part")) if totals else F.lit(0)
-    emitted = emitted.withColumn("start", (F.col("start") + before).cast("bigint")).drop("part")
+    starts = starts.withColumn("start", (F.col("start") + before).cast("bigint")).drop("part")
 
-    placed = through.join(owners, "node").join(emitted.select("node", "start", F.size("tokens").alias("size")), "node")
+    placed = through.join(owners, "node").join(starts, "node")
     walked = placed.repartition("rank").sortWithinPartitions("rank", "depth").select("rank", "node", "owner", "start", "size")
     attention, _ = stored(walked.mapInArrow(_attention, "node binary, position bigint, ancestors array<struct<from: bigint, to: bigint>>"), "attention")
-    nodes = emitted.join(attention, "node")
+    nodes = spoken.join(starts.select("node", "start"), "node").join(attention, "node")
     ids = conversations.select(key, "conv_id").distinct()
     return nodes, turns.join(ids, "key")
 
