@@ -613,7 +613,7 @@ class Engine:
                             emitted = Delta(before.exceptAll(after), after.exceptAll(before))
                             afresh.discard(view.name.lower())
                     else:
-                        before = self._read_at(view, old)
+                        before = self._read_at(view, old) if self._needed(view) else None
                         emitted = self._refresh(view, deltas, old, before)
                     view.last_error = None
                 except Exception as e:
