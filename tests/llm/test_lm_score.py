@@ -63,3 +63,12 @@ def test_targets_are_marked_alike_by_broadcast_and_by_shuffle(spark):
     want = sorted([(1, "a", True), (1, "b", True), (2, "c", False), (None, "d", False), (3, None, True), (1, "a", True)], key=repr)
     for bound in (10, 0):
         assert sorted(map(tuple, lm_score._marked(texts, target, bound).collect()), key=repr) == want
+
+
+def test_many_targets_are_never_broadcast(spark):
+    """Ids above the bound times the salts took the driver's memory where Spark's estimate of them is small."""
+    texts, target = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string"), spark.createDataFrame([(1,)], "id long")
+    marked = lm_score._marked(texts, target, 0)
+    assert len(marked.collect()) == 2
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -155,7 +155,8 @@ def _marked(texts: DataFrame, target: DataFrame, broadcast_ids: int) -> DataFram
     known = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("target"))
     # null ids are no targets and have no place in the shuffle
     dealt = texts.where("id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("text", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    found = dealt.join(known, ["id", "salt"], "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Spark's estimate of known leaves the explode out: unhinted, SALTS times the ids would be broadcast
+    found = dealt.join(known.hint("merge"), ["id", "salt"], "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     # a task that is run again has to see its rows in the same order
     return found.unionByName(texts.where("id IS NULL").select("id", "text", F.lit(False).alias("target"))).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
