@@ -49,3 +49,21 @@ def test_near_copies_are_those_of_brute_force(spark, seed, block, monkeypatch):
 
 def test_near_copies_of_nothing(spark):
     assert near.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_groups_that_differ_too_much_are_no_candidates(spark, monkeypatch):
+    """Copies of one text that are too far apart share its shingles pair by pair; only pairs that may be similar become rows."""
+    rng, base = random.Random(4), [f"w{i}" for i in range(140)]
+    texts = [" ".join(rng.choice("xyz") + w if rng.random() < 0.12 else w for w in base) for _ in range(120)] + [" ".join(base), " ".join(["q", *base])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows, stored = {}, near.stored
+
+    def counted(df, name):
+        found = stored(df, name)
+        rows[name] = found[0].count()
+        return found
+
+    monkeypatch.setattr(near, "stored", counted)
+    got = {r["id"]: r["component_id"] for r in near.near_copies(docs, k=2).collect()}
+    assert got == brute_force(texts)
+    assert rows["groups"] > 100 and rows["pairs"] < rows["groups"]

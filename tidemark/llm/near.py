@@ -14,7 +14,10 @@ moves all shingles:
 What is left goes to SimHash first: fingerprints of the sets are linked by anchor points, and so are,
 by chains, neighbours among sets of equal least hash whose signatures of least hashes agree for the
 most part; both are verified by the whole sets. That links most of a large group, but not every
-similar pair, as those may be ten bits and more apart. After that groups, not sets, are candidates: two of them are if their sets share such a shingle. Of a pair of groups the smaller one's sets go to the larger one's,
+similar pair, as those may be ten bits and more apart. After that groups, not sets, are candidates: two of them are if their sets share such a shingle and
+may differ in as few shingles as similar sets do. How many they differ in at least is told by the shingles that no other set
+has, of which every one is a difference, and by the others' parities: two sets whose numbers of shingles in a bucket are odd
+and even differ there. A bucket counts for a group if all its sets agree in it. This drops no similar pair. Of a pair of groups the smaller one's sets go to the larger one's,
 which all its pairs share, and are verified there. So a group of m near copies costs about m and not
 m^2. Nothing is sampled and no group is cut.
 
@@ -48,6 +51,10 @@ BLOCK, GROUP = 1 << 14, 1 << 10
 #: Least hashes of a signature, how many of them neighbours in a chain have to agree in, and how far neighbours reach: chains only save work.
 _CHAINS, _AGREED, _REACH = 16, 9, 6
 _GRAMS = 1 << 20
+#: Words of 64 bits of a set's parities: they tell sets of up to some 2,000 shingles apart, and larger ones the less the larger.
+_WORDS = 16
+#: Sets whose parities are counted at once.
+_ROWS = 512
 
 _SHARED = "gram bigint, key bigint, df bigint"
 
@@ -256,28 +263,45 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_majority(h, rows - rows[0]).view(np.int64))], ["key", "fp"])
 
 
+def _parities(batches):
+    """(root, n, alone, p0 ...) of (root, n, grams): bit b is whether an odd number of the grams have the remainder b; alone are the shingles beside grams."""
+    for whole in batches:
+        for batch in (whole.slice(i, _ROWS) for i in range(0, whole.num_rows, _ROWS)):
+            size = np.asarray(batch.column(2).value_lengths()).astype(np.int64)
+            h = np.asarray(batch.column(2).flatten()).view(np.uint64)
+            at = np.repeat(np.arange(len(size)), size) * (64 * _WORDS) + (h % np.uint64(64 * _WORDS)).astype(np.int64)
+            odd = (np.bincount(at, minlength=64 * _WORDS * len(size)) & 1).astype(np.uint8)
+            words = np.packbits(odd, bitorder="little").view(np.int64).reshape(len(size), _WORDS)
+            alone = pa.array(np.asarray(batch.column(1)) - size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), alone, *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(_WORDS)]], ["root", "n", "alone", *[f"p{i}" for i in range(_WORDS)]])
+
+
 def _across(similarity: float):
-    """Pairs among rows (gram, low, high, block, root, lo, hi, early) of groups of sets of lo to hi shingles, a group of
-    (gram, low, high) at a time; early: the shingle is among those that the smaller set of a pair shares."""
+    """Pairs among rows (gram, low, high, block, root, lo, hi, early, alone, odd, mixed) of groups of sets of lo to hi shingles,
+    a group of (gram, low, high) at a time; early: the shingle is among those that the smaller set of a pair shares; alone: so
+    many shingles at least of each set are in no other; odd, mixed: parities that are odd in all sets, and those that aren't one."""
+    apart = (1 - similarity) / (1 + similarity)  # similar sets of n and m shingles differ in apart (n + m) of them at most
 
     def out(found):
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def pairs(block, root, lo, hi, early):
+    def pairs(block, root, lo, hi, early, alone, odd, mixed):
         side = block == block.min()
         left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(root)), None)
         for i in left.tolist():
             j = np.arange(i + 1, len(root)) if right is None else right
             near = np.minimum(hi[j], hi[i]) >= similarity * np.maximum(lo[j], lo[i]) - 1e-9
             j = j[near & (early[j] & (lo[j] <= hi[i]) | early[i] & (lo[i] <= hi[j]))]
+            differ = alone[i] + alone[j] + np.bitwise_count((odd[i] ^ odd[j]) & ~(mixed[i] | mixed[j])).sum(axis=1, dtype=np.int64)
+            j = j[differ <= apart * (hi[i] + hi[j]) + 1e-6]
             if len(j):
                 yield np.full(len(j), root[i]), root[j]
 
     def runs(batches):
         held = None
         for batch in batches:
-            got = tuple(np.asarray(c) for c in batch.columns)
+            got = tuple(np.asarray(c.flatten()).view(np.uint64).reshape(-1, _WORDS) if pa.types.is_list(c.type) else np.asarray(c) for c in batch.columns)
             held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
             if not len(held[0]):
                 continue
@@ -388,13 +412,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(chained).select(F.col("node").alias("key"), "root")
 
     members, _ = stored(kept.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
-    groups, _ = stored(members.groupBy("root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("size")), "groups")
+    words = [f"p{i}" for i in range(_WORDS)]
+    marked = members.select("root", "n", "grams").mapInArrow(_parities, ", ".join(f"{x} bigint" for x in ["root", "n", "alone", *words]))
+    both = [(F.bit_and(x), F.bit_or(x)) for x in words]
+    agreed = F.array(*[x for x, _ in both]).alias("odd"), F.array(*[x.bitwiseXOR(y) for x, y in both]).alias("mixed")
+    groups, _ = stored(marked.groupBy("root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("size"), F.min("alone").alias("alone"), *agreed), "groups")
     heads = members.select("root", "early", F.posexplode(F.slice("grams", F.lit(1), F.col("head"))).alias("place", "gram"))
     heads = heads.groupBy("root", "gram").agg(F.max(F.col("place") < F.col("early")).alias("early"))
     several = heads.groupBy("gram").agg(F.count("*").alias("count"), F.max("early").alias("any")).where("any AND count > 1").select("gram", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = heads.join(several, "gram").join(groups, "root")
     dealt = dealt.withColumn("block", F.pmod("root", F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "lo", "hi", "early")
+    dealt = dealt.select("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "root", "lo", "hi", "early", "alone", "odd", "mixed")
     dealt = dealt.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
     pairs = dealt.mapInArrow(_across(similarity), "a bigint, b bigint").distinct()
 
