@@ -116,3 +116,38 @@ def test_layers_fold_and_fail_whole(spark, engine, monkeypatch):
     assert sorted(map(repr, engine.read("stats").collect())) == before
     engine.compact("stats")
     assert len(engine.views["stats"].layers) == 1 and sorted(map(repr, engine.read("stats").collect())) == before
+
+
+CROSSED = {
+    "x_few": "SELECT a.grp, COUNT(*) AS n FROM (SELECT grp FROM t WHERE val > -5) AS a CROSS JOIN (SELECT name FROM u) AS b GROUP BY a.grp",
+    "x_all": "SELECT a.grp, SUM(a.val) AS s, AVG(a.val) AS v, COUNT(a.val) AS n, MIN(a.val) AS lo, MAX(b.name) AS hi FROM t AS a CROSS JOIN u AS b GROUP BY a.grp",
+    "x_where": "SELECT a.grp, COUNT(*) AS n, SUM(a.val) AS s FROM t a, u b WHERE a.val > 0 AND b.name <> 'A' GROUP BY a.grp",
+    "x_pairs": "SELECT COUNT(DISTINCT b.name, a.grp) AS n FROM t AS a CROSS JOIN u AS b",
+    "x_joined": "SELECT a.grp, COUNT(*) AS n FROM t a, u b WHERE a.grp = b.grp GROUP BY a.grp",
+}
+
+
+def test_cross_joins_pair_groups(spark, engine):
+    rows = make(random.Random(1), 30, 0)
+    for n, sql in CROSSED.items():
+        engine.create_view(n, sql, topk=2)
+    assert [bool(engine.views[n].counted) for n in CROSSED] == [True, True, True, True, False]
+    rng, frame = random.Random(5), lambda x: spark.createDataFrame(x, SCHEMA)
+    engine.apply("t", inserts=frame(make(rng, 8, 100)))
+    engine.apply("u", deletes=spark.createDataFrame([("b", "B")], "grp string, name string"))
+    engine.apply("t", deletes=frame(rows[:14]))
+    engine.apply("u", inserts=spark.createDataFrame([("b", "B2"), ("b", "B2")], "grp string, name string"))
+    for n, sql in CROSSED.items():
+        same(engine, n, sql)
+    engine.truncate("u")
+    for n, sql in CROSSED.items():
+        same(engine, n, sql)
+
+
+def test_a_cross_join_of_large_sides(spark):
+    """9e10 pairs: a million rows beside ninety thousand."""
+    e = Engine(spark)
+    e.register("p", spark.range(1_000_000).selectExpr("id", "id % 3 AS g"))
+    e.register("q", spark.range(90_000).selectExpr("id"))
+    e.create_view("v", "SELECT a.g, COUNT(*) AS n FROM p AS a CROSS JOIN q AS b GROUP BY a.g")
+    assert sorted(map(tuple, e.read("v").collect())) == [(0, 333_334 * 90_000), (1, 333_333 * 90_000), (2, 333_333 * 90_000)]

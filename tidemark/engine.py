@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import state as states
-from .plans import aggregate, analyze, decompose, sqltext
+from .plans import aggregate, analyze, cross, decompose, sqltext
 from .plans.analyze import Relation, ViewError
 from .sources.changes import Bag, Delta, from_log, net, patched, union
 from .sources.storage import Store, path_of
@@ -78,6 +78,7 @@ class View:
     key: list[str] | None = None
     plan: aggregate.Plan | None = None
     relations: list[Relation] = field(default_factory=list)
+    counted: tuple[str, list[Relation]] | None = None  # its row query over groups of a cross join's sides
     children: list[str] = field(default_factory=list)  # sub-views it was decomposed into
     state: DataFrame | None = None
     layers: states.Layers = ()  # what an additive state is summed from
@@ -186,6 +187,21 @@ class Engine:
             for name in views:
                 self.spark.catalog.dropTempView(name)
 
+    def _rows(self, view: View, frames: list[DataFrame]) -> DataFrame:
+        """A view's rows, or groups of equal ones with their numbers."""
+        return self._evaluate(*(view.counted or (view.sql, view.relations)), frames)
+
+    def _counted(self, view: View) -> tuple[str, list[Relation]] | None:
+        text = cross.counted(view.sql, lambda piece: self._schema(f"SELECT * FROM {piece}", analyze.relations(self.spark, f"SELECT * FROM {piece}")).names)
+        if text is None:
+            return None
+        found = self._known(analyze.relations(self.spark, text))
+        kinds = self._schema(text, found)
+        # products of decimals keep six places
+        if any(kinds[c].dataType.typeName() == "decimal" and kinds[c].dataType.scale > 6 for c in view.plan.sums):
+            return None
+        return text, found
+
     def _known(self, relations: list[Relation]) -> list[Relation]:
         return [r for r in relations if r.name.lower() in self.sources or r.name.lower() in self.views]
 
@@ -319,6 +335,7 @@ class Engine:
         text = plan.row_sql if plan else sql
         view = View(name, text, "aggregate" if plan else "rows", [], schema, mode, storage, topk, plan=plan, relations=self._known(analyze.relations(self.spark, text)))
         self._place(view)
+        view.counted = self._counted(view) if plan else None
         if unique and (missing := [c for c in unique if c not in schema.names]):
             raise ViewError(f"unique_columns {missing} are not in the view")
         view.key = unique or self._inherited_key(view, schema)
@@ -423,7 +440,7 @@ class Engine:
     def _fill(self, view: View) -> None:
         if view.kind == "reading" or self._loaded(view):
             return
-        rows = self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
+        rows = self._rows(view, [self._current(r.name.lower()) for r in view.relations])
         if view.plan:
             view.state = self.store.write(view.name, states.build(view.plan, rows, view.topk))
             view.layers = states.base(view.state) if not view.plan.heaps else ()
@@ -676,7 +693,7 @@ class Engine:
                 return Delta()
             was, is_ = (states.read_layers(view.plan, x, view.schema, touched) for x in (previous, view.layers))
             return Delta(was.exceptAll(is_), is_.exceptAll(was))
-        now = lambda: self._evaluate(view.sql, view.relations, [self._current(r.name.lower()) for r in view.relations])
+        now = lambda: self._rows(view, [self._current(r.name.lower()) for r in view.relations])
         previous = view.state
         view.state, touched = states.merge(view.plan, view.state, change, view.topk, now, keep)
         if not self._needed(view):
@@ -690,7 +707,7 @@ class Engine:
         frame = lambda i, is_new: self._current(view.relations[i].name.lower()) if is_new or i not in changed else old[view.relations[i].name.lower()]
         if not all(view.relations[i].linear for i in changed):
             near = self._near(view, changed, deltas)
-            was, is_ = (self._evaluate(view.sql, view.relations, [near(i, frame(i, is_new)) for i in range(len(view.relations))]) for is_new in (False, True))
+            was, is_ = (self._rows(view, [near(i, frame(i, is_new)) for i in range(len(view.relations))]) for is_new in (False, True))
             return Delta(was.exceptAll(is_), is_.exceptAll(was))
         out = Delta()
         for i in changed:
@@ -698,7 +715,7 @@ class Engine:
                 part = getattr(deltas[view.relations[i].name.lower()], side)
                 if part is None:
                     continue
-                rows = self._evaluate(view.sql, view.relations, [part if j == i else frame(j, j < i) for j in range(len(view.relations))])
+                rows = self._rows(view, [part if j == i else frame(j, j < i) for j in range(len(view.relations))])
                 setattr(out, side, union(getattr(out, side), rows))
         return net(out) if len(changed) > 1 else out
 

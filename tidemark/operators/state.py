@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import heaps
 from ..plans.aggregate import COUNT, Plan
 from ..plans.analyze import ViewError
+from ..plans.cross import TIMES
 from ..sources.changes import Delta
 
 #: Layers of one level before they become one of the next: 0 changes, 1 sums of changes, 2 the base.
@@ -43,6 +44,8 @@ def _rows(plan: Plan, rows: DataFrame) -> DataFrame:
 def _best(plan: Plan, rows: DataFrame, column: str, kind: str, k: int) -> DataFrame:
     """Per group the best k non-null values, best first. Ranks are cut per task before they are shuffled."""
     keys = _keys(plan)
+    if TIMES in rows.columns:
+        rows = rows.withColumn(TIMES, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(TIMES, F.lit(k).cast("bigint")))))
     ranked = rows.where(F.col(column).isNotNull()).select(*keys, column).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(heaps.order(kind, column)))).where(F.col("__r") <= k)
     return ranked.groupBy(*keys).agg(heaps.best_first(kind, F.collect_list(column)).alias(column))
 
@@ -60,9 +63,13 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFra
 
 
 def build(plan: Plan, rows: DataFrame, topk: int) -> DataFrame:
-    """The state of all rows."""
+    """The state of all rows; a row counts as often as it says."""
     rows, keys = _rows(plan, rows), _keys(plan)
-    out = rows.groupBy(*keys).agg(F.count("*").alias(COUNT), *[F.sum(c).alias(c) for c in plan.sums])
+    if TIMES in rows.columns:
+        kinds = rows.agg(F.count("*").alias(COUNT), *[F.sum(c).alias(c) for c in plan.sums]).schema
+        out = rows.groupBy(*keys).agg(F.sum(TIMES).alias(COUNT), *[F.sum(F.col(c) * F.col(TIMES)).cast(kinds[c].dataType).alias(c) for c in plan.sums])
+    else:
+        out = rows.groupBy(*keys).agg(F.count("*").alias(COUNT), *[F.sum(c).alias(c) for c in plan.sums])
     for column, (kind, _) in plan.heaps.items():
         out = _null_safe(out, _best(plan, rows, column, kind, topk), keys, "left")
     return out
