@@ -294,7 +294,7 @@ def stream_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit, gone = rows.where("event_id % 11 = 0"), rows.where("event_id % 7 = 0 AND event_id % 11 <> 0")
     log = tag(rows.where("event_id % 5 = 0"), "I").unionByName(tag(hit, "U_OLD")).unionByName(tag(_updated(hit, "e"), "U_NEW")).unionByName(tag(gone, "D")).unionByName(tag(_updated(hit.where("event_id % 7 = 0"), "e"), "D"))
     store = Store(spark)
-    log.coalesce(1).write.parquet(f"{store.folder}/log")
+    log.write.parquet(f"{store.folder}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{store.folder}/log")
     query = maintain(engine, "e", stream, f"{store.folder}/progress")
     query.awaitTermination()
