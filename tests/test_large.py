@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from tidemark.engine import Engine
 from tidemark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +13,25 @@ def test_a_change_log_is_written_by_many_tasks(spark):
     before = there()
     catalog.stream_foreachbatch(spark, DATA)
     assert len(there() - before) > 1
+
+
+def test_not_in_is_joined_by_key(spark):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "k int")
+    sql = "SELECT a.k FROM a WHERE a.k NOT IN (SELECT b.k FROM b WHERE b.k > 0 OR b.k IS NULL)"
+    e = Engine(spark)
+    e.register("a", rows(1, 2, None, 4))
+    e.register("b", rows(2, -1))
+    e.create_view("v", sql)
+    said = lambda: sorted((r[0] for r in e.read("v").collect()), key=str)
+    assert said() == [1, 4]
+    e.apply("b", inserts=rows(None))
+    assert said() == []
+    e.apply("b", deletes=rows(None))
+    assert said() == [1, 4]
+    e.apply("b", deletes=rows(2))
+    assert said() == [1, 2, 4, None]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastExchange" not in e.query(sql)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

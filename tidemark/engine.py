@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import state as states
-from .plans import aggregate, analyze, cross, decompose, sqltext
+from .plans import aggregate, analyze, cross, decompose, nulls, sqltext
 from .plans.analyze import Relation, ViewError
 from .sources.changes import Bag, Delta, from_log, net, patched, union
 from .sources.storage import Store, path_of
@@ -182,7 +182,7 @@ class Engine:
             views.append(name)
             parts.append((r.start, r.stop, name if r.aliased else f"{name} AS `{r.name.split('.')[-1]}`"))
         try:
-            return self.spark.sql(aggregate.replace_all(text, parts))
+            return self.spark.sql(nulls.split(self.spark, aggregate.replace_all(text, parts)))
         finally:
             for name in views:
                 self.spark.catalog.dropTempView(name)
