@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .operators import state as states
 from .plans import aggregate, analyze, cross, decompose, nulls, sqltext
 from .plans.analyze import Relation, ViewError
-from .sources.changes import Bag, Delta, from_log, net, patched, union
+from .sources.changes import Bag, Delta, from_log, net, patched, signed, union
 from .sources.storage import Store, path_of
 
 TOPK = 16
@@ -708,7 +708,7 @@ class Engine:
         if not all(view.relations[i].linear for i in changed):
             near = self._near(view, changed, deltas)
             was, is_ = (self._rows(view, [near(i, frame(i, is_new)) for i in range(len(view.relations))]) for is_new in (False, True))
-            return Delta(was.exceptAll(is_), is_.exceptAll(was))
+            return self._compared(view, was, is_)
         out = Delta()
         for i in changed:
             for side in ("minus", "plus"):
@@ -719,6 +719,19 @@ class Engine:
                 setattr(out, side, union(getattr(out, side), rows))
         return net(out) if len(changed) > 1 else out
 
+    def _compared(self, view: View, was: DataFrame, is_: DataFrame) -> Delta:
+        """What two bags of a view's rows differ by. Each is evaluated once: with signs for sums, otherwise written after equal rows have cancelled."""
+        if view.layers and self._exact(view.plan, is_):  # sums take the signs themselves
+            times = lambda rows, sign: rows.withColumn(cross.TIMES, F.col(cross.TIMES) * sign if cross.TIMES in rows.columns else F.lit(sign).cast("bigint"))
+            return Delta(plus=times(was, -1).unionByName(times(is_, 1)))
+        return self.store.write_signed(view.name, signed(was, is_))
+
+    @staticmethod
+    def _exact(plan: aggregate.Plan, rows: DataFrame) -> bool:
+        """Whether what enters and leaves a sum cancels to the last digit; products of decimals keep six places."""
+        kinds = {c: rows.schema[c].dataType for c in plan.sums}
+        return all(t.typeName() not in ("double", "float", "string") and (t.typeName() != "decimal" or t.scale <= 6) for t in kinds.values())
+
     def _near(self, view: View, changed: list[int], deltas: dict[str, Delta]) -> Callable[[int, DataFrame], DataFrame]:
         """What of a relation's rows a comparison has to see: all, or where one relation changed that is joined outer
         by equal columns, those rows of both relations alone whose keys occur in the change."""

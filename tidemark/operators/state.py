@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,12 +119,15 @@ def append(plan: Plan, layers: Layers, delta: Delta, keep: Callable[[DataFrame],
     schema = layers[0][1].schema
     parts = [p for p in (_partial(plan, _rows(plan, rows) if rows is not None else None, sign, 1) for sign, rows in ((-1, delta.minus), (1, delta.plus))) if p is not None]
     change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    signs = delta.plus is not None and TIMES in delta.plus.columns
+    if signs:  # groups whose rows all cancel
+        change = change.where(reduce(or_, [F.coalesce(F.col(c) != 0, F.lit(False)) for c in (COUNT, *plan.sums)]))
     change = keep(change.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
     n = change.count()
     if not n:  # no changed row reaches the view
         return layers, change.select(*_keys(plan)), 0
     layers, touched = (*layers, (0, change)), change.select(*_keys(plan))
-    if delta.minus is not None and not stacked(plan, layers, touched).where(f"{COUNT} < 0").isEmpty():
+    if (signs or delta.minus is not None) and not stacked(plan, layers, touched).where(f"{COUNT} < 0").isEmpty():
         raise ViewError("a change deletes rows that are not there")
     if sum(level == 0 for level, _ in layers) >= FANOUT:
         layers = (*[x for x in layers if x[0] > 0], (1, keep(_summed(plan, _together(tuple(x for x in layers if x[0] == 0))))))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import path_of
+from .storage import SIGN, path_of
 
 #: Operation codes of a change log: insert, delete, and the two images of an update.
 OPS_IN, OPS_OUT = ("I", "U_NEW"), ("D", "U_OLD")
@@ -46,6 +46,14 @@ def net(delta: Delta) -> Delta:
     return Delta(delta.minus.exceptAll(delta.plus), delta.plus.exceptAll(delta.minus))
 
 
+def signed(minus: DataFrame, plus: DataFrame) -> DataFrame:
+    """What is left of two bags when equal rows cancel, each row with its sign: one shuffle of both, where two differences take four."""
+    columns = [F.col(f"`{c}`") for c in plus.columns]
+    rows = minus.withColumn(SIGN, F.lit(-1)).unionByName(plus.withColumn(SIGN, F.lit(1)))
+    left = rows.groupBy(*columns).agg(F.sum(SIGN).alias(SIGN)).where(f"{SIGN} <> 0")
+    return left.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs(SIGN)))).select(*columns, F.signum(SIGN).cast("int").alias(SIGN))
+
+
 def patched(old: DataFrame, delta: Delta, key: list[str] | None = None) -> DataFrame:
     """The bag after a change. With a unique key, deletes are an anti-join; otherwise a bag difference."""
     if delta.minus is None:

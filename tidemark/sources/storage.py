@@ -6,8 +6,17 @@ import json
 import tempfile
 import uuid
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from .changes import Delta
+
+
+#: The column that says whether a row leaves (-1) or enters (1).
+SIGN = "__sign"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all is on one machine (tests)."""
@@ -40,6 +49,22 @@ class Store:
         df.write.parquet(path)
         return self.read(path, df.schema)
 
+    def write_signed(self, name: str, df: DataFrame) -> Delta:
+        """Rows that leave and rows that enter as two tables, by one evaluation."""
+        from .changes import Delta
+
+        path, rows = f"{self.folder}/{name}/{uuid.uuid4().hex}", df.drop(SIGN)
+        df.write.partitionBy(SIGN).parquet(path)
+        sides = []
+        for value in (-1, 1):
+            part = f"{path}/{SIGN}={value}"
+            files, target = self._file(part)
+            there = files.exists(target)
+            if there:
+                self.new.setdefault(name, set()).add(part)
+            sides.append(self.read(part, rows.schema) if there else None)
+        return Delta(*sides)
+
     def read(self, path: str, schema=None) -> DataFrame:
         out = self.spark.read.schema(schema).parquet(path) if schema is not None else self.spark.read.parquet(path)
         out._tidemark_path = path
